@@ -16,8 +16,14 @@ BLOCK_BITS = 14
 
 
 def cell_of(value: Column) -> Column:
-    """Fixed-point number that never decreases as the value grows."""
-    return F.floor(value * F.lit(float(1 << CELL_BITS))).cast("long")
+    """Fixed-point number that never decreases as the value grows.
+
+    Declared non-NULL: a nullable join key would get an extra filter in one branch
+    of the plan, and the branches could no longer share their shuffles.
+    """
+    return F.coalesce(
+        F.floor(value * F.lit(float(1 << CELL_BITS))).cast("long"), F.lit(0).cast("long")
+    )
 
 
 def value_ranks(
@@ -25,7 +31,7 @@ def value_ranks(
 ) -> DataFrame:
     """One row per distinct (``by``, ``value``): its count and how many rows lie above it.
 
-    ``value`` must be a non-NULL double. Equal values collapse in the map-side
+    ``value`` must be a non-NULL double and so must the ``by`` columns be. Equal values collapse in the map-side
     part of the first aggregation, so a tie shared by any number of rows costs
     one row here. The rest is ordered block, cell, value: see ``running_totals``.
     Columns added: ``n``, ``n_before`` (rows with a greater value), ``n_group``.

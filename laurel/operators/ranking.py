@@ -43,7 +43,7 @@ def score_ranks(authors: DataFrame, cfg: MetricConfig, save: Save = unsaved) ->
     """
     in_subfield = F.col("subfield_1").isNotNull()
     everyone = F.lit("all")
-    own = F.concat(F.lit("="), F.col("subfield_1"))
+    own = F.concat(F.lit("="), F.coalesce("subfield_1", F.lit("")))
     entries = [
         F.struct(
             F.lit(b).alias("basis"),

@@ -63,7 +63,15 @@ def _values(ranked: DataFrame, levels) -> DataFrame:
         ranked.select(F.array(*entries).alias("_m"), _subjects(levels).alias("_s"))
         .select("_s.*", F.explode(F.filter("_m", lambda m: m["value"].isNotNull())).alias("_m"))
         .select(*_BY, "_m.measure", "_m.value")
-        .withColumn("cell", F.floor(F.col("value") * float(1 << COARSE_BITS)).cast("long"))
+        # filtered above; declared non-NULL so that the plan's branches share shuffles
+        .withColumn("value", F.coalesce("value", F.lit(0.0)))
+        .withColumn(
+            "cell",
+            F.coalesce(
+                F.floor(F.col("value") * float(1 << COARSE_BITS)).cast("long"),
+                F.lit(0).cast("long"),
+            ),
+        )
     )
 
 

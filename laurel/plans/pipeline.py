@@ -135,7 +135,7 @@ class Pipeline:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return score.composite_score(self.author_profile, self.log_maxima)
+        return self.save("scored", score.composite_score(self.author_profile, self.log_maxima))
 
     @cached_property
     def author_names(self) -> DataFrame:
