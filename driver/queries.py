@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driver.tables import CONFIG, LOWER_YEAR_CONFIG, pipeline
+from laurel.functions.columns import author_slots
 from laurel.operators import authorship, checks, profile, score, subjects, thresholds
 from laurel.operators.indices import BASES
 from laurel.plans import reports
@@ -29,9 +30,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _authorship(p: Pipeline) -> DataFrame:
-    return authorship.explode_authors(p.inputs.publications.select("eid", "Au")).select(
-        "eid", "auid", "author_seq", "n_authors"
-    )
+    slots = p.inputs.publications.select("eid", author_slots().alias("slots"))
+    return authorship.explode_authors(slots).select("eid", "auid", "author_seq", "n_authors")
 
 
 def _counted(p: Pipeline) -> DataFrame:

@@ -21,6 +21,15 @@ def author_id(raw: Column) -> Column:
     return raw.try_cast("long")
 
 
+def author_slots() -> Column:
+    """Author ids and positions of a paper as one array of structs.
+
+    Built from the two fields, not from the record: a scan then reads those two
+    columns and leaves the name columns, the bulk of an author list, on disk.
+    """
+    return F.arrays_zip(F.col("Au.auid").alias("auid"), F.col("Au.Authorseq").alias("Authorseq"))
+
+
 def is_person(auid: Column) -> Column:
     return auid.isNotNull() & (auid > LAST_PLACEHOLDER_AUTHOR)
 

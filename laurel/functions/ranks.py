@@ -27,21 +27,25 @@ def cell_of(value: Column) -> Column:
 
 
 def value_ranks(
-    rows: DataFrame, by: Sequence[str], value: str
+    rows: DataFrame, by: Sequence[str], value: str, blocks: bool = True
 ) -> DataFrame:
     """One row per distinct (``by``, ``value``): its count and how many rows lie above it.
 
-    ``value`` must be a non-NULL double and so must the ``by`` columns be. Equal values collapse in the map-side
-    part of the first aggregation, so a tie shared by any number of rows costs
-    one row here. The rest is ordered block, cell, value: see ``running_totals``.
+    ``value`` must be a non-NULL double and so must the ``by`` columns be. Equal
+    values collapse in the map-side part of the first aggregation, so a tie shared
+    by any number of rows costs one row here. The rest is ordered block, cell,
+    value: see ``running_totals``. ``blocks=False`` leaves out the coarsest level
+    when ``by`` already confines the values to a narrow interval.
     Columns added: ``n``, ``n_before`` (rows with a greater value), ``n_group``.
     """
     by = list(by)
     values = (
         rows.groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_cell", cell_of(F.col(value)))
-        .withColumn("_block", F.shiftright("_cell", BLOCK_BITS))
+        .withColumn("_fine", cell_of(F.col(value)))
     )
-    levels = [("_block", "desc"), ("_cell", "desc"), (value, "desc")]
-    return running_totals(values, by, levels, ["n"]).drop("_cell", "_block")
+    levels = [("_fine", "desc"), (value, "desc")]
+    if blocks:
+        values = values.withColumn("_block", F.shiftright("_fine", BLOCK_BITS))
+        levels = [("_block", "desc"), *levels]
+    return running_totals(values, by, levels, ["n"]).drop("_fine", "_block")

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laurel.config import CORE_TYPES, MetricConfig
-from laurel.functions.columns import author_id, in_collections, is_person, sum_if
+from laurel.functions.columns import (
+    author_id,
+    author_slots,
+    in_collections,
+    is_person,
+    sum_if,
+)
 from laurel.operators.citations import flag_discontinued
 
 
@@ -22,11 +28,14 @@ def explode_authors(papers: DataFrame) -> DataFrame:
     """One row per author slot, for identified people only.
 
     ``n_authors`` is the length of the printed author list, placeholders and
-    unknown authors included. All other columns of ``papers`` are carried along.
+    unknown authors included. ``papers`` has the author list as ``slots``; see
+    ``author_slots``. All other columns are carried along.
     """
-    rest = [c for c in papers.columns if c != "Au"]
+    rest = [c for c in papers.columns if c != "slots"]
     return (
-        papers.select(*rest, F.size("Au").alias("n_authors"), F.explode("Au").alias("_author"))
+        papers.select(
+            *rest, F.size("slots").alias("n_authors"), F.explode("slots").alias("_author")
+        )
         .select(
             *rest,
             "n_authors",
@@ -55,10 +64,7 @@ def author_papers(
         F.col(cfg.year_column).alias("year"),
         F.coalesce(F.col("publication_type").isin(*CORE_TYPES), F.lit(False)).alias("is_core"),
         F.col("source.srcid").alias("_source"),
-        F.transform(
-            "Au",
-            lambda a: F.struct(a["auid"].alias("auid"), a["Authorseq"].alias("Authorseq")),
-        ).alias("Au"),
+        author_slots().alias("slots"),
     )
     papers = (
         flag_discontinued(papers, discontinued, F.col("_source"))
@@ -77,7 +83,7 @@ def author_papers(
             "discontinued_cites",
             F.when(F.col("is_core"), F.col("subfield")).alias("subfield"),
             "field",
-            "Au",
+            "slots",
         )
     )
 

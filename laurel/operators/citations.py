@@ -27,13 +27,13 @@ def flag_discontinued(papers: DataFrame, discontinued: DataFrame, source_id: Col
     )
 
 
-def _people(authors: Column, cfg: MetricConfig) -> Column:
+def _people(raw_ids: Column, cfg: MetricConfig) -> Column:
     """Ids used to compare author lists.
 
     Unknown and placeholder ids do not identify anybody, so they are left out;
     ``strict_reference`` keeps them, and then two unknown authors match.
     """
-    ids = F.transform(authors, lambda a: author_id(a["auid"]))
+    ids = F.transform(raw_ids, author_id)
     return ids if cfg.strict_reference else F.filter(ids, is_person)
 
 
@@ -76,7 +76,7 @@ def citation_edges(
             F.col("eid").alias("citing_eid"),
             F.array_distinct("references").alias("_references"),
             F.col("source.srcid").alias("_source"),
-            _people(F.col("Au"), cfg).alias("_citing_authors"),
+            _people(F.col("Au.auid"), cfg).alias("_citing_authors"),
         ),
         discontinued,
         F.col("_source"),
@@ -88,7 +88,7 @@ def citation_edges(
         "_citing_authors",
     ).filter(F.col("cited_eid").isNotNull())
     cited = publications.select(
-        F.col("eid").alias("cited_eid"), _people(F.col("Au"), cfg).alias("_cited_authors")
+        F.col("eid").alias("cited_eid"), _people(F.col("Au.auid"), cfg).alias("_cited_authors")
     )
     pairs = spread_join(references, cited, ["cited_eid"], hot_cited, "citing_eid")
     if cfg.strict_reference:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laurel.config import MetricConfig
-from laurel.functions.columns import author_id
+from laurel.functions.columns import author_id, author_slots
 
 
 def author_affiliations(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
@@ -17,7 +17,7 @@ def author_affiliations(publications: DataFrame, cfg: MetricConfig) -> DataFrame
     """
     links = F.flatten(
         F.transform(
-            "Au",
+            author_slots(),
             lambda a: F.transform(
                 F.filter("Au_af", lambda link: link["Authorseq"] == a["Authorseq"]),
                 lambda link: F.struct(

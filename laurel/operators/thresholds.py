@@ -112,7 +112,7 @@ def percentile_cutoffs(values: DataFrame, save: Save = unsaved) -> DataFrame:
     cells = save("threshold_cells", cutoff_cells(values))
     keys = [*_BY, "measure", "cell"]
     inside = values.join(cells.select(*keys).distinct(), keys)
-    ranks = value_ranks(inside, keys, "value").select(*keys, "value", "n", "n_before")
+    ranks = value_ranks(inside, keys, "value", blocks=False).select(*keys, "value", "n", "n_before")
     return (
         ranks.join(cells, keys)
         .filter(

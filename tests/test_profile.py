@@ -1,5 +1,6 @@
 from dataclasses import replace
 
+from laurel.functions.columns import author_slots
 from laurel.operators import authorship, profile, subjects
 
 from tests.conftest import as_dict, paper, rows_of
@@ -14,7 +15,8 @@ def test_counted_publications(publications, cfg):
 
 def test_author_slots(publications):
     pubs = publications([paper(1, authors=[None, 4, 7, "x9"]), paper(2)])
-    rows = authorship.explode_authors(pubs.select("eid", "Au")).collect()
+    slots = pubs.select("eid", author_slots().alias("slots"))
+    rows = authorship.explode_authors(slots).collect()
     assert [(r.eid, r.auid, r.author_seq, r.n_authors) for r in rows] == [(1, 7, 3, 4)]
 
 

@@ -47,7 +47,14 @@ def authors(spark, rows):
 def test_ties_share_a_rank_and_missing_scores_come_last(spark, cfg):
     frame = authors(spark, [(1, "X", 5.0, 1.0), (2, "X", 5.0, 2.0), (3, "Y", 3.0, 3.0),
                             (4, None, None, 0.0)])
-    got = {r.auid: r for r in ranking.score_ranks(frame, cfg).collect()}
+    for limit in (1_000_000, 1):
+        check_ranks({
+            r.auid: r
+            for r in ranking.score_ranks(frame, replace(cfg, hot_key_rows=limit)).collect()
+        })
+
+
+def check_ranks(got):
     assert [got[i].ns_rank for i in (1, 2, 3, 4)] == [1, 1, 3, 4]
     assert [got[i].ws_rank for i in (1, 2, 3, 4)] == [3, 2, 1, 4]
     assert [got[i].ns_subfield_rank for i in (1, 2, 3, 4)] == [1, 1, 1, None]
@@ -73,9 +80,12 @@ def test_ranks_equal_plain_windows_with_and_without_spreading(spark, cfg):
                CASE WHEN subfield_1 IS NOT NULL THEN count(*) OVER (PARTITION BY subfield_1) END
                  subfield_count
         FROM ranked_authors_test""")
-    for limit in (1_000_000, 20):
+    expected = sorted(map(repr, plain.collect()))
+    windowed = ranking.score_ranks(frame, cfg)
+    assert sorted(map(repr, windowed.select(plain.columns).collect())) == expected
+    for limit in (399, 20):  # more authors than the limit: spread, without and with hot scores
         got = ranking.score_ranks(frame, replace(cfg, hot_key_rows=limit))
-        assert sorted(got.select(plain.columns).collect()) == sorted(plain.collect())
+        assert sorted(map(repr, got.select(plain.columns).collect())) == expected
 
 
 def test_top_list_rule(spark, cfg):
