@@ -19,14 +19,19 @@ def hot_keys(counts: DataFrame, on: Sequence[str], n: str, limit: int) -> DataFr
     )
 
 
+# Rows without a key match nothing; a left join deals them out over this many slices.
+NULL_KEY_SLICES = 1024
+
+
 def spread_join(
     many: DataFrame,
     one: DataFrame,
     on: Sequence[str],
     hot: DataFrame | None,
     spread_by: Column | str,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner equi-join in which each hot key of ``many`` is cut into slices.
+    """Inner or left equi-join in which each hot key of ``many`` is cut into slices.
 
     Rows of ``many`` with a hot key get a slice number from ``spread_by``; the
     matching rows of ``one`` are repeated once per slice. Every pair is still
@@ -34,18 +39,24 @@ def spread_join(
     """
     on = list(on)
     if hot is None:
-        return many.join(one, on)
+        return many.join(one, on, how)
     slices = F.broadcast(hot)  # bounded: see hot_keys
+    dealt = F.xxhash64(spread_by)
+    slice_of = F.when(
+        F.col("_slices").isNotNull(), F.pmod(dealt, F.coalesce(F.col("_slices"), F.lit(1)))
+    )
+    if how == "left":
+        keyless = F.lit(False)
+        for key in on:
+            keyless = keyless | F.col(key).isNull()
+        slice_of = slice_of.when(keyless, F.pmod(dealt, F.lit(NULL_KEY_SLICES)))
     many = many.join(slices, on, "left").withColumn(
-        "_slice",
-        F.when(F.col("_slices").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(spread_by), F.coalesce(F.col("_slices"), F.lit(1))).cast("int")
-        ),
+        "_slice", slice_of.otherwise(F.lit(0)).cast("int")
     ).drop("_slices")
     one = one.join(slices, on, "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
     ).drop("_slices")
-    return many.join(one, [*on, "_slice"]).drop("_slice")
+    return many.join(one, [*on, "_slice"], how).drop("_slice")
 
 
 def running_totals(

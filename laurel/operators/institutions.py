@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laurel.config import MetricConfig
 from laurel.functions.columns import author_id, author_slots
+from laurel.functions.spread import spread_join
 
 
 def author_affiliations(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
@@ -50,9 +51,7 @@ def author_affiliations(publications: DataFrame, cfg: MetricConfig) -> DataFrame
     )
 
 
-def author_institution(
-    affiliations: DataFrame, institutions: DataFrame
-) -> DataFrame:
+def dominant_affiliation(affiliations: DataFrame) -> DataFrame:
     """The most frequent affiliation of each author's last affiliated year.
 
     Ties: latest date, then lowest id. Printed name and country come from the
@@ -73,13 +72,24 @@ def author_institution(
         F.col("_latest.affil_name").alias("affil_name"),
         F.col("_latest.cntry").alias("cntry"),
     )
-    chosen = (
+    return (
         per_affiliation.groupBy("auid")
         .agg(F.max(choice).alias("_c"))
         .select("auid", "_c.affil_id", "_c.affil_name", "_c.cntry", "_c.max_datesort")
     )
+
+
+def author_institution(
+    chosen: DataFrame, institutions: DataFrame, hot_institutions: DataFrame | None = None
+) -> DataFrame:
+    """Add the preferred institution name, else the name as printed.
+
+    ``hot_institutions`` (from ``hot_keys`` on ``affil_id``) spreads institutions
+    with very many authors.
+    """
     preferred = institutions.select(F.col("afid").alias("affil_id"), "preferred_name")
-    return chosen.join(preferred, "affil_id", "left").select(
+    named = spread_join(chosen, preferred, ["affil_id"], hot_institutions, "auid", "left")
+    return named.select(
         "auid",
         "affil_id",
         "affil_name",

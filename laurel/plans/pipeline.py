@@ -59,6 +59,7 @@ class Pipeline:
         return self.store.get_or_build(name, self.cfg, lambda: df)
 
     def _hot(self, name: str, counts: DataFrame, key: str, n: str) -> DataFrame | None:
+        """Keys to spread, or None when no key holds more rows than one task should."""
         hot = self.save(name, hot_keys(counts, [key], n, self.cfg.hot_key_rows))
         return None if hot.isEmpty() else hot
 
@@ -144,7 +145,10 @@ class Pipeline:
     @cached_property
     def author_institution(self) -> DataFrame:
         links = institutions.author_affiliations(self.inputs.publications, self.cfg)
-        return institutions.author_institution(links, self.inputs.institutions)
+        chosen = self.save("dominant_affiliation", institutions.dominant_affiliation(links))
+        sizes = chosen.groupBy("affil_id").agg(F.count(F.lit(1)).alias("n"))
+        hot = self._hot("hot_institutions", sizes, "affil_id", "n")
+        return institutions.author_institution(chosen, self.inputs.institutions, hot)
 
     @cached_property
     def ranked(self) -> DataFrame:

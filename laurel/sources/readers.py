@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laurel import schemas
 
@@ -15,8 +16,14 @@ def dataset_path(base: str, version: str, extent: str, table: str) -> str:
     ))
 
 
-def read_publications(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.PUBLICATIONS).parquet(path)
+def read_publications(
+    spark: SparkSession, path: str, year_column: str = "year"
+) -> DataFrame:
+    """Publications; ``year_column`` names the year the run sorts and filters by."""
+    schema = schemas.PUBLICATIONS
+    if year_column not in schema.names:
+        schema = T.StructType([*schema.fields, T.StructField(year_column, T.IntegerType())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_institutions(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 
+from laurel.functions.spread import hot_keys
 from laurel.operators import institutions, names
 
 from tests.conftest import as_dict, author, paper
@@ -42,7 +43,9 @@ def spot(eid, year, month, afid, org=("Org",), seq=1):
 def chosen(spark, publications, cfg, rows, known=()):
     links = institutions.author_affiliations(publications(rows), cfg)
     ipr = spark.createDataFrame(list(known), "afid long, preferred_name string")
-    return institutions.author_institution(links, ipr).collect()
+    return institutions.author_institution(
+        institutions.dominant_affiliation(links), ipr
+    ).collect()
 
 
 def test_dominant_affiliation_of_the_last_year(spark, publications, cfg):
@@ -74,3 +77,17 @@ def test_only_matching_links(spark, publications, cfg):
     links = institutions.author_affiliations(publications(rows), cfg)
     assert sorted((r.auid, r.affil_id) for r in links.collect()) == [(10, 5), (11, 5), (11, 6)]
     assert as_dict(links, "affil_id", "affil_name")[6] == "B"
+
+
+def test_spread_left_join_keeps_every_author(spark):
+    chosen = spark.createDataFrame(
+        [(i, 5 if i % 3 else None, "printed", "XX", None) for i in range(60)] + [(99, 6, "p", "X", None)],
+        "auid long, affil_id long, affil_name string, cntry string, max_datesort date",
+    )
+    ipr = spark.createDataFrame([(5, "Five"), (7, "Seven")], "afid long, preferred_name string")
+    sizes = chosen.groupBy("affil_id").count()
+    hot = hot_keys(sizes, ["affil_id"], "count", 10)
+    plain = institutions.author_institution(chosen, ipr)
+    spread = institutions.author_institution(chosen, ipr, hot)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, spread.collect()))
+    assert plain.count() == 61
