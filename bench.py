@@ -21,7 +21,7 @@ QUERIES = {
     "citation_counts": lambda p: p.citation_counts,
     "h_index": lambda p: p.paper_metrics,
     "distinct_citing": lambda p: p.distinct_citing,
-    "subject_ranking": lambda p: p.author_subjects("subfield"),
+    "subject_ranking": lambda p: p.author_subjects,
     "author_names": lambda p: p.author_names,
     "author_institution": lambda p: p.author_institution,
     "composite_score": lambda p: p.scored,

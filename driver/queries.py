@@ -48,30 +48,18 @@ def _per_basis(*names: str) -> list[str]:
     return [f"{b}_{n}" for b in BASES for n in names]
 
 
-def _volumes(p: Pipeline) -> DataFrame:
-    parts = [
-        subjects.subject_volumes(p.subject_counts, level).select(
-            F.lit(level).alias("level"), F.col(level).alias("subject"), "n_overall"
-        )
-        for level in ("subfield", "field")
-    ]
-    return parts[0].unionByName(parts[1])
-
-
 def _subject_ranking(p: Pipeline) -> DataFrame:
     parts = [
-        p.author_subjects(level)
-        .select("auid", F.lit(level).alias("level"), F.explode(f"{level}s").alias("_s"))
-        .select("auid", "level", "_s.*")
-        for level in ("subfield", "field")
+        p.author_subjects.select(
+            "auid", F.lit(level).alias("level"), F.explode(f"{level}s").alias("_s")
+        ).select("auid", "level", "_s.*")
+        for level in subjects.LEVELS
     ]
     return parts[0].unionByName(parts[1])
 
 
 def _main_subjects(p: Pipeline) -> DataFrame:
-    return subjects.top_subjects(
-        p.author_subjects("subfield").join(p.author_subjects("field"), "auid", "left")
-    ).drop("subfields", "fields")
+    return subjects.top_subjects(p.author_subjects).drop("subfields", "fields")
 
 
 def _scores(p: Pipeline) -> DataFrame:
@@ -146,7 +134,7 @@ PLANS: dict[str, Callable[[Pipeline], DataFrame]] = {
         "np_discontinued", "np_range_discontinued", "ws_nc_discontinued"
     ),
     "label_resolution": lambda p: p.inputs.classification,
-    "subject_volumes": _volumes,
+    "subject_volumes": lambda p: p.subject_volumes,
     "subject_ranking": _subject_ranking,
     "main_subjects": _main_subjects,
     "author_names": lambda p: p.author_names,

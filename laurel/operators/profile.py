@@ -108,13 +108,10 @@ def distinct_citing(
     )
 
 
-def author_profile(
-    metrics: DataFrame, citing: DataFrame, subfields: DataFrame, fields: DataFrame
-) -> DataFrame:
+def author_profile(metrics: DataFrame, citing: DataFrame, subjects: DataFrame) -> DataFrame:
     """One row per author: metrics, distinct citing papers, subject arrays."""
     return (
         metrics.join(citing, "auid", "left")
         .na.fill(0, ["ns_nc_citing", "ws_nc_citing"])
-        .join(subfields, "auid", "left")
-        .join(fields, "auid", "left")
+        .join(subjects, "auid", "left")
     )

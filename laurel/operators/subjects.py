@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laurel.config import MetricConfig
 from laurel.functions.columns import ratio, sum_if
 
 
+LEVELS = ("subfield", "field")
+
+
 def subject_counts(rows: DataFrame, cfg: MetricConfig) -> DataFrame:
     """Rows per (author, subfield, field) of the authors with enough core papers.
 
@@ -24,71 +27,89 @@ def subject_counts(rows: DataFrame, cfg: MetricConfig) -> DataFrame:
         sum_if(F.col("is_core")).alias("n_core"),
         sum_if(kept).alias("n_kept"),
     )
-    enough = (
-        counted.groupBy("auid")
-        .agg(F.sum("n_core").alias("_core"))
-        .filter(F.col("_core") >= cfg.min_core_papers)
-        .select("auid")
+    # a window over at most one row per subject and author
+    core = F.sum("n_core").over(Window.partitionBy("auid"))
+    return counted.withColumn("_core", core).filter(F.col("_core") >= cfg.min_core_papers).drop(
+        "_core"
     )
-    return counted.join(enough, "auid")
 
 
-def subject_volumes(counts: DataFrame, level: str) -> DataFrame:
-    """Author-on-paper rows per subject over all profiled authors (NULL is a group)."""
-    return counts.groupBy(level).agg(F.sum("n").alias("n_overall"))
+def _by_level(counts: DataFrame) -> DataFrame:
+    """Each count row once per level, as (level, subject)."""
+    entries = [
+        F.struct(F.lit(level).alias("level"), F.col(level).alias("subject")) for level in LEVELS
+    ]
+    return counts.select(
+        "auid",
+        "n",
+        "n_kept",
+        F.when(F.col("field").isNotNull(), F.col("n")).otherwise(0).alias("n_with_field"),
+        F.explode(F.array(*entries)).alias("_e"),
+    ).select("auid", "n", "n_kept", "n_with_field", "_e.level", "_e.subject")
+
+
+def subject_volumes(counts: DataFrame) -> DataFrame:
+    """Author-on-paper rows per level and subject over all profiled authors.
+
+    Rows without a subject form a group of their own.
+    """
+    return _by_level(counts).groupBy("level", "subject").agg(F.sum("n").alias("n_overall"))
 
 
-def rank_subjects(counts: DataFrame, volumes: DataFrame, level: str) -> DataFrame:
-    """Each author's subjects as an array in rank order, unclassified last.
+def rank_subjects(counts: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Each author's ``subfields`` and ``fields`` as arrays in rank order, unclassified last.
 
     Order: more papers first, then the overall rarer subject, then the name.
     Fractions of both levels share one denominator: papers of any type with a field.
-    ``volumes`` has one row per subject label. Arrays are bounded by the number
-    of labels. Subjects without a paper inside the overall lower year take part
-    in the ranking but are not listed.
+    ``volumes`` has one row per subject label, and the arrays are no longer than
+    that. Subjects without a paper inside the overall lower year take part in the
+    ranking but are not listed.
     """
-    per_author = counts.groupBy("auid", level).agg(
-        F.sum("n").alias("n"),
-        F.sum("n_kept").alias("n_kept"),
-        sum_if(F.col("field").isNotNull(), F.col("n")).alias("n_with_field"),
-    )
     # NULL gets its own key so that both sides join as plain equality
-    unclassified = F.col(level).isNull()
-    key = F.when(unclassified, F.lit("")).otherwise(F.concat(F.lit("="), F.col(level)))
-    sized = per_author.withColumn("_key", key).join(
-        volumes.select(key.alias("_key"), "n_overall"), "_key"
+    missing = F.col("subject").isNull()
+    key = F.when(missing, F.lit("")).otherwise(F.concat(F.lit("="), F.col("subject")))
+    per_subject = (
+        _by_level(counts)
+        .groupBy("auid", "level", "subject")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "n_kept", "n_with_field")])
+        .withColumn("_key", key)
+        .join(volumes.select("level", key.alias("_key"), "n_overall"), ["level", "_key"])
     )
-    listed = sized.groupBy("auid").agg(
-        F.sum("n_with_field").alias("_classified"),
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    unclassified.alias("last"),
-                    (-F.col("n")).alias("minus_n"),
-                    "n_overall",
-                    F.col(level).alias("subject"),
-                    "n_kept",
-                )
-            )
-        ).alias("_ordered"),
+    entry = F.struct(
+        missing.alias("last"),
+        (-F.col("n")).alias("minus_n"),
+        "n_overall",
+        "subject",
+        "n_kept",
     )
-    ranked = F.transform(
-        "_ordered",
-        lambda s, i: F.struct(
-            (i + 1).alias("rank"),
-            s["subject"].alias("subject"),
-            (-s["minus_n"]).alias("n_author"),
-            s["n_overall"].alias("n_overall"),
-            F.col("_classified").alias("n_classified"),
-            ratio(-s["minus_n"], F.col("_classified")).alias("fraction"),
-            s["n_kept"].alias("n_kept"),
-        ),
+    listed = per_subject.groupBy("auid").agg(
+        # every row counts once per level, so one level alone gives the author's total
+        sum_if(F.col("level") == LEVELS[0], F.col("n_with_field")).alias("_classified"),
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("level") == level, entry))).alias(f"{level}s")
+            for level in LEVELS
+        ],
+    )
+
+    def ranked(level: str):
+        numbered = F.transform(
+            f"{level}s",
+            lambda s, i: F.struct(
+                (i + 1).alias("rank"),
+                s["subject"].alias("subject"),
+                (-s["minus_n"]).alias("n_author"),
+                s["n_overall"].alias("n_overall"),
+                F.col("_classified").alias("n_classified"),
+                ratio(-s["minus_n"], F.col("_classified")).alias("fraction"),
+                s["n_kept"].alias("n_kept"),
+            ),
+        )
+        present = F.filter(numbered, lambda s: s["n_kept"] > 0)
+        return F.transform(present, lambda s: s.dropFields("n_kept")).alias(f"{level}s")
+
+    return listed.select("auid", *[ranked(level) for level in LEVELS]).filter(
+        F.size(f"{LEVELS[0]}s") > 0
     )
-    present = F.filter(ranked, lambda s: s["n_kept"] > 0)
-    return listed.select(
-        "auid",
-        F.transform(present, lambda s: s.dropFields("n_kept")).alias(f"{level}s"),
-    ).filter(F.size(f"{level}s") > 0)
 
 
 def top_subjects(profile: DataFrame) -> DataFrame:

@@ -111,22 +111,20 @@ class Pipeline:
     def subject_counts(self) -> DataFrame:
         return self.save("subject_counts", subjects.subject_counts(self.author_papers, self.cfg))
 
-    def subject_volumes(self, level: str) -> DataFrame:
-        volumes = subjects.subject_volumes(self.subject_counts, level)
-        return self.save(f"{level}_volumes", volumes)
+    @cached_property
+    def subject_volumes(self) -> DataFrame:
+        return self.save("subject_volumes", subjects.subject_volumes(self.subject_counts))
 
-    def author_subjects(self, level: str) -> DataFrame:
-        return subjects.rank_subjects(self.subject_counts, self.subject_volumes(level), level)
+    @cached_property
+    def author_subjects(self) -> DataFrame:
+        return subjects.rank_subjects(self.subject_counts, self.subject_volumes)
 
     @cached_property
     def author_profile(self) -> DataFrame:
         return self.save(
             "author_profile",
             profile.author_profile(
-                self.paper_metrics,
-                self.distinct_citing,
-                self.author_subjects("subfield"),
-                self.author_subjects("field"),
+                self.paper_metrics, self.distinct_citing, self.author_subjects
             ),
         )
 

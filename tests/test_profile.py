@@ -78,10 +78,12 @@ def test_subject_ranking(author_rows, cfg):
         ("ar", "X", "F", 8, 50), ("ar", "Y", "F", 2, 51), ("ar", "W", "F", 4, 51),
     ])
     counts = subjects.subject_counts(rows, cfg)
-    volumes = subjects.subject_volumes(counts, "subfield")
-    assert as_dict(volumes, "subfield", "n_overall") == {"X": 10, "Y": 4, "Z": 1, "W": 4, None: 3}
-    ranked = subjects.rank_subjects(counts, volumes, "subfield")
-    mine = {r.auid: r.subfields for r in ranked.collect()}[9]
+    volumes = subjects.subject_volumes(counts)
+    overall = as_dict(volumes.filter("level = 'subfield'"), "subject", "n_overall")
+    assert overall == {"X": 10, "Y": 4, "Z": 1, "W": 4, None: 3}
+    both = {r.auid: (r.subfields, r.fields) for r in subjects.rank_subjects(counts, volumes).collect()}
+    mine, fields = both[9]
+    assert [(f.subject, f.n_author) for f in fields] == [("F", 5), ("G", 1), (None, 2)]
     assert [(s.rank, s.subject, s.n_author) for s in mine] == [
         (1, "Y", 2), (2, "X", 2), (3, "Z", 1), (4, None, 3),
     ]
@@ -93,16 +95,13 @@ def test_subjects_outside_the_lower_year_are_ranked_but_not_listed(author_rows,
     new = author_rows([(9, 10 + i, 0, 1) for i in range(2)], subfield="Y", field="F", year=2000)
     run = replace(cfg, overall_min_year=1996)
     counts = subjects.subject_counts(old.unionByName(new), run)
-    ranked = subjects.rank_subjects(counts, subjects.subject_volumes(counts, "subfield"), "subfield")
+    ranked = subjects.rank_subjects(counts, subjects.subject_volumes(counts))
     assert [(s.rank, s.subject) for s in ranked.collect()[0].subfields] == [(2, "Y")]
 
 
 def test_main_subjects_without_classified_paper(author_rows, cfg):
     rows = classified(author_rows, [("ar", None, None, 6, 9)])
     counts = subjects.subject_counts(rows, cfg)
-    both = None
-    for level in ("subfield", "field"):
-        part = subjects.rank_subjects(counts, subjects.subject_volumes(counts, level), level)
-        both = part if both is None else both.join(part, "auid")
-    top = subjects.top_subjects(both).collect()[0]
+    ranked = subjects.rank_subjects(counts, subjects.subject_volumes(counts))
+    top = subjects.top_subjects(ranked).collect()[0]
     assert (top.subfield_1, top.subfield_1_frac, top.subfield_2, top.field_1) == (None,) * 4
