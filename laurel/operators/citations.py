@@ -37,7 +37,8 @@ def _people(raw_ids: Column, cfg: MetricConfig) -> Column:
     return ids if cfg.strict_reference else F.filter(ids, is_person)
 
 
-def _citing_papers(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
+def citing_papers(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
+    """Papers whose references count: from the first citing year on, preprints never."""
     citing = publications.filter(F.col(cfg.year_column) >= cfg.min_cite_year)
     if cfg.max_cite_year is not None:
         citing = citing.filter(F.col(cfg.year_column) <= cfg.max_cite_year)
@@ -51,7 +52,7 @@ def reference_counts(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
     the papers ``citation_edges`` must spread over several tasks.
     """
     return (
-        _citing_papers(publications, cfg)
+        citing_papers(publications, cfg)
         .select(F.explode(F.array_distinct("references")).alias("cited_eid"))
         .filter(F.col("cited_eid").isNotNull())
         .groupBy("cited_eid")
@@ -72,7 +73,7 @@ def citation_edges(
     ``hot_cited`` (from ``hot_keys`` on ``cited_eid``) spreads very cited papers.
     """
     citing = flag_discontinued(
-        _citing_papers(publications, cfg).select(
+        citing_papers(publications, cfg).select(
             F.col("eid").alias("citing_eid"),
             F.array_distinct("references").alias("_references"),
             F.col("source.srcid").alias("_source"),

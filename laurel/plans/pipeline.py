@@ -58,15 +58,23 @@ class Pipeline:
     def save(self, name: str, df: DataFrame) -> DataFrame:
         return self.store.get_or_build(name, self.cfg, lambda: df)
 
-    def _hot(self, name: str, counts: DataFrame, key: str, n: str) -> DataFrame | None:
-        """Keys to spread, or None when no key holds more rows than one task should."""
-        hot = self.save(name, hot_keys(counts, [key], n, self.cfg.hot_key_rows))
+    def _hot(self, name: str, rows: DataFrame, counts: DataFrame, on: str, n: str):
+        """Keys to spread, or None when no key can hold more rows than one task should.
+
+        ``rows`` bounds the rows of any key: while all of them are few, no key is hot
+        and the keys need not be counted.
+        """
+        if rows.count() <= self.cfg.hot_key_rows:
+            return None
+        hot = self.save(name, hot_keys(counts, [on], n, self.cfg.hot_key_rows))
         return None if hot.isEmpty() else hot
 
     @cached_property
     def hot_cited(self) -> DataFrame | None:
+        # a paper cites another at most once, so citing papers bound the references to one
+        citing = citations.citing_papers(self.inputs.publications, self.cfg)
         counts = citations.reference_counts(self.inputs.publications, self.cfg)
-        return self._hot("hot_cited", counts, "cited_eid", "n_references")
+        return self._hot("hot_cited", citing, counts, "cited_eid", "n_references")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -97,7 +105,7 @@ class Pipeline:
     @cached_property
     def hot_authors(self) -> DataFrame | None:
         sizes = authorship.author_sizes(self.author_papers)
-        return self._hot("hot_authors", sizes, "auid", "n_rows")
+        return self._hot("hot_authors", self.author_papers, sizes, "auid", "n_rows")
 
     @cached_property
     def paper_metrics(self) -> DataFrame:
@@ -145,7 +153,7 @@ class Pipeline:
         links = institutions.author_affiliations(self.inputs.publications, self.cfg)
         chosen = self.save("dominant_affiliation", institutions.dominant_affiliation(links))
         sizes = chosen.groupBy("affil_id").agg(F.count(F.lit(1)).alias("n"))
-        hot = self._hot("hot_institutions", sizes, "affil_id", "n")
+        hot = self._hot("hot_institutions", chosen, sizes, "affil_id", "n")
         return institutions.author_institution(chosen, self.inputs.institutions, hot)
 
     @cached_property
