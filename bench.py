@@ -47,7 +47,7 @@ def session():
 
 
 def run(spark, sf_dir: str, names) -> dict[str, float]:
-    from driver import tables
+    from laurel_registry import tables
     from laurel.plans.pipeline import Pipeline
     from laurel.sources.stages import shared_folder
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 import bench
-from driver import tables
+from laurel_registry import tables
 from laurel.functions.columns import ratio
 from laurel.operators import profile, ranking, subjects, thresholds
 from laurel.plans.pipeline import Pipeline

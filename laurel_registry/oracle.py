@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from driver.queries import DISTRIBUTION_SUBFIELD
+from laurel_registry.queries import DISTRIBUTION_SUBFIELD
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driver.tables import CONFIG, LOWER_YEAR_CONFIG, pipeline
+from laurel_registry.tables import CONFIG, LOWER_YEAR_CONFIG, pipeline
 from laurel.functions.columns import author_slots
 from laurel.operators import authorship, checks, profile, score, subjects, thresholds
 from laurel.operators.indices import BASES

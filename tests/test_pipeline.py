@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from driver import tables
-from driver.compare import compare, connect
+from laurel_registry import tables
+from laurel_registry.compare import compare, connect
 from laurel.plans import reports
 
 from tests.conftest import SF

@@ -7,7 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from driver import tables
+from laurel_registry import tables
 from laurel.operators import authorship, citations, institutions
 from laurel.plans.run import load_inputs, run
 
