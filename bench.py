@@ -9,8 +9,8 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 WARM_DIR = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
@@ -51,7 +51,7 @@ def run(spark, sf_dir: str, names) -> dict[str, float]:
     from laurel.plans.pipeline import Pipeline
     from laurel.sources.stages import shared_folder
 
-    scratch = tempfile.mkdtemp(prefix="bench-", dir=shared_folder(spark))
+    scratch = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex[:12]}"
     inputs = tables.inputs(spark, sf_dir, f"{scratch}/inputs")
     seconds = {}
     for name in names:

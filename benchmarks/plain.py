@@ -10,8 +10,8 @@ from __future__ import annotations
 import os
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
@@ -81,7 +81,7 @@ def comparisons(p: Pipeline):
     spread = replace(p.cfg, hot_key_rows=max(1, authors.count() // 8))
 
     def save(name, df):
-        path = tempfile.mkdtemp(prefix=f"{name}-", dir=shared_folder(p.spark))
+        path = f"{p.store.root}/{name}-{uuid.uuid4().hex[:12]}"
         df.write.mode("overwrite").parquet(path)
         return p.spark.read.parquet(path)
 
@@ -117,7 +117,7 @@ def seconds(build) -> float:
 def main(sf_dir: str) -> None:
     spark = bench.session()
     spark.sparkContext.setLogLevel("ERROR")
-    scratch = tempfile.mkdtemp(prefix="plain-", dir=shared_folder(spark))
+    scratch = f"{shared_folder(spark)}/plain-{uuid.uuid4().hex[:12]}"
     inputs = tables.inputs(spark, sf_dir, f"{scratch}/inputs")
     p = Pipeline(spark, inputs, tables.CONFIG, f"{scratch}/stages", sf_dir)
     p.ranked.count()

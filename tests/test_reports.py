@@ -74,6 +74,20 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())
+
+
 def test_label_resolution(spark):
     labels = spark.createDataFrame([("D", "F", "Soft Matter")], "domain string, field string, subfield string")
     raw = spark.createDataFrame([(1, "  soft MATTER "), (2, "other"), (3, None)],
