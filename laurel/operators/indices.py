@@ -55,15 +55,20 @@ def hm_of(r_eff: Column, cites: Column, kept: Column) -> Column:
     return F.round(best, DECIMALS)
 
 
-def author_indices(rows: DataFrame, cfg: MetricConfig) -> DataFrame:
-    """``ns_h``, ``ns_hm``, ``ws_h``, ``ws_hm`` per author from windows over the author."""
+def index_aggregates(cfg: MetricConfig) -> list[Column]:
+    """h and hm of both bases over rows that carry their positions."""
     kept = kept_rows(cfg)
     aggregates = []
     for basis in BASES:
         cites = F.col(f"{basis}_cites")
         aggregates.append(h_of(F.col(f"{basis}_r"), cites, kept).alias(f"{basis}_h"))
         aggregates.append(hm_of(F.col(f"{basis}_r_eff"), cites, kept).alias(f"{basis}_hm"))
-    return with_positions(rows).groupBy("auid").agg(*aggregates)
+    return aggregates
+
+
+def author_indices(rows: DataFrame, cfg: MetricConfig) -> DataFrame:
+    """``ns_h``, ``ns_hm``, ``ws_h``, ``ws_hm`` per author from windows over the author."""
+    return with_positions(rows).groupBy("auid").agg(*index_aggregates(cfg))
 
 
 def author_indices_spread(rows: DataFrame, cfg: MetricConfig) -> DataFrame:

@@ -11,8 +11,7 @@ from laurel.functions.spread import spread_join
 from laurel.operators.indices import (
     BASES,
     author_indices_spread,
-    h_of,
-    hm_of,
+    index_aggregates,
     kept_rows,
     with_positions,
 )
@@ -62,20 +61,13 @@ def paper_metrics(
     than one task should hold; they are pre-aggregated and ranked level by level.
     """
     sums = [c.alias(name) for name, c in count_aggregates(cfg).items()]
-    kept = kept_rows(cfg)
-    indices = []
-    for b in BASES:
-        cites = F.col(f"{b}_cites")
-        indices.append(h_of(F.col(f"{b}_r"), cites, kept).alias(f"{b}_h"))
-        indices.append(hm_of(F.col(f"{b}_r_eff"), cites, kept).alias(f"{b}_hm"))
-
     rows = rows.drop("subfield", "field")
     usual, hot = rows, None
     if hot_authors is not None:
         ids = F.broadcast(hot_authors.select("auid"))  # bounded: see hot_keys
         usual = rows.join(ids, "auid", "left_anti")
         hot = rows.join(ids, "auid", "left_semi")
-    profile = with_positions(usual).groupBy("auid").agg(*sums, *indices)
+    profile = with_positions(usual).groupBy("auid").agg(*sums, *index_aggregates(cfg))
     if hot is not None:
         spread = hot.groupBy("auid").agg(*sums).join(author_indices_spread(hot, cfg), "auid")
         profile = profile.unionByName(spread)
