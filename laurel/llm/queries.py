@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laurel.llm import packing, substring_dedup, suffix_dedup
+from laurel.llm import outliers, packing, secrets, substring_dedup, suffix_dedup
 from laurel.llm.tables import table
 
 
@@ -14,18 +14,27 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_windows(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.screened(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_suffix_dedup, op6_substring_dedup, op10_packing]
+    found = [op2_suffix_dedup, op5_secrets, op6_substring_dedup, op7_outliers, op10_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secrets": secrets.oracle()}
