@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laurel.llm import near_dedup, outliers, packing, secrets, substring_dedup, suffix_dedup
+from laurel.llm import html_text, near_dedup, outliers, packing, secrets, substring_dedup, suffix_dedup
 from laurel.llm.tables import table
 
 
@@ -18,6 +18,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.grouped(table(spark, sf_dir, "documents"), size=2)
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live")
@@ -36,7 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_suffix_dedup, op3_near_dedup, op5_secrets, op6_substring_dedup, op7_outliers, op10_packing]
+    found = [op2_suffix_dedup, op3_near_dedup, op4_html_text, op5_secrets, op6_substring_dedup, op7_outliers, op10_packing]
     return {f.__name__: f for f in found}
 
 
