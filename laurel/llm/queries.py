@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laurel.llm import html_text, near_dedup, outliers, packing, secrets, substring_dedup, suffix_dedup
+from laurel.llm import html_text, near_dedup, outliers, packing, quality, secrets, substring_dedup, suffix_dedup, toxicity
 from laurel.llm.tables import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -35,12 +39,16 @@ def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.screened(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_suffix_dedup, op3_near_dedup, op4_html_text, op5_secrets, op6_substring_dedup, op7_outliers, op10_packing]
+    found = [op1_quality, op2_suffix_dedup, op3_near_dedup, op4_html_text, op5_secrets, op6_substring_dedup, op7_outliers, op9_toxicity, op10_packing]
     return {f.__name__: f for f in found}
 
 
