@@ -60,8 +60,8 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             lengths = end[a:b] - begin[a:b]
             _, times = np.unique(folded[a:b], return_counts=True)
             p = times / n
-            distinct, top = len(times) / n, times.max() / n
-            entropy = -(p * np.log(p)).sum() / np.log(n + 1)
+            distinct, top = len(times) / n, (times.max() - 1) / n
+            entropy = -(p * np.log(p)).sum() / np.log(n) if n > 1 else 1.0
             same = float((hashes[a + 1:b] == hashes[a:b - 1]).mean()) if n > 1 else 0.0
             windows = three[a:b - 2]
             fresh = len(np.unique(windows)) / len(windows) if len(windows) else 1.0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laurel.llm import html_text, near_dedup, outliers, packing, quality, secrets, substring_dedup, suffix_dedup, toxicity
+from laurel.llm import decontaminate, html_text, near_dedup, outliers, packing, quality, secrets, substring_dedup, suffix_dedup, toxicity
 from laurel.llm.tables import table
 
 
@@ -39,6 +39,10 @@ def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.screened(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_suffix_dedup, op3_near_dedup, op4_html_text, op5_secrets, op6_substring_dedup, op7_outliers, op9_toxicity, op10_packing]
+    found = [op1_quality, op2_suffix_dedup, op3_near_dedup, op4_html_text, op5_secrets, op6_substring_dedup, op7_outliers, op8_decontaminate, op9_toxicity, op10_packing]
     return {f.__name__: f for f in found}
 
 
