@@ -251,3 +251,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: i
         step = rows.mapInArrow(searched(found), "id long, item_id long, similarity double, start_word long, n_words long")
         out = step if out is None else out.unionByName(step)
     return out.select(id_back("id").alias("doc_id"), *out.columns[1:])
+
+
+def kept(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 11, blocks: int = 4) -> DataFrame:
+    """The rows of docs that hold no item; rows without doc_id are judged by their text."""
+    text = F.coalesce("text", F.lit(""))
+    held = matches(docs.filter("doc_id is not null"), benchmark, least, radius, blocks).select("doc_id").distinct()
+    nameless = docs.filter("doc_id is null").withColumn("_h", F.xxhash64(text))
+    bad = matches(nameless.select(F.col("_h").alias("doc_id"), "text"), benchmark, least, radius, blocks)
+    bad = bad.select(F.col("doc_id").alias("_h")).distinct()
+    return (docs.filter("doc_id is not null").join(held, "doc_id", "left_anti")
+            .unionByName(nameless.join(bad, "_h", "left_anti").select(*docs.columns)))

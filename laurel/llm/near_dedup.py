@@ -246,3 +246,10 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 16,
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def kept(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 16) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its group, and rows without doc_id; whole repeated rows once."""
+    stay = grouped(docs, size, percent, chunks).filter("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates()
+    return named.unionByName(docs.filter("doc_id is null"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +27,22 @@ def id_back(column: str = "doc_id") -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
 
-    The folder is the one in spark.checkpoint.dir. Only a local session without that
-    setting, as in tests, gets one of its own.
+    Only a local session without that setting, as in tests, gets one of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder: lineage ends here."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir is not set")
-            folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -289,3 +289,14 @@ def apply(docs: DataFrame, model: Model, modulus: int = 4, held_out: int = 2, th
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder(modulus) == held_out).alias("held_out"),
                        text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_clauses long")
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores below `threshold`, all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = [t is None or model.score(t) < threshold for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
