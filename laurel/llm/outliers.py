@@ -22,7 +22,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ("v0", "v1", "v2", "v3")
 # Spread that is noise in each statistic, whatever the group: no covariance is narrower.
-NARROWEST = (0.15, 0.3, 0.3, 0.1)
+NARROWEST = (0.15, 0.3, 0.3, 0.16)
 
 
 def bound(value: Column, body) -> Column:
@@ -150,7 +150,7 @@ def _with(rows: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(found, by)
 
 
-def screened(docs: DataFrame, share: float = 0.75, steps: int = 2, cutoff: float = 60.0,
+def screened(docs: DataFrame, share: float = 0.75, steps: int = 2, cutoff: float = 23.5,
              least_rows: int = 200) -> DataFrame:
     """One row for each row of docs: doc_id, the counts of `measured`, base_failed, distance, kept.
 
@@ -158,7 +158,7 @@ def screened(docs: DataFrame, share: float = 0.75, steps: int = 2, cutoff: float
     Estimates come from the rows that pass. A missing text is empty; a missing lang or source
     is one of its own. Groups with fewer than `least_rows` rows are judged by the estimate
     over all rows; without any row that passes there is no distance, and rows that pass are
-    kept. `cutoff` is a squared distance.
+    kept. `cutoff` is a squared distance; 23.5 is what one in 10,000 normal vectors exceeds.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = settled(measured(docs).withColumn("base_failed", base))
