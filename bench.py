@@ -49,9 +49,9 @@ def session():
 def run(spark, sf_dir: str, names) -> dict[str, float]:
     from laurel_registry import tables
     from laurel.plans.pipeline import Pipeline
-    from laurel.sources.stages import shared_folder
+    from laurel_registry.scratch import scratch_folder
 
-    scratch = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex[:12]}"
+    scratch = f"{scratch_folder(spark)}/bench-{uuid.uuid4().hex[:12]}"
     inputs = tables.inputs(spark, sf_dir, f"{scratch}/inputs")
     seconds = {}
     for name in names:

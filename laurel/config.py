@@ -11,6 +11,10 @@ from dataclasses import asdict, dataclass
 CORE_TYPES = ("ar", "cp", "re")
 CAREER_CITE_YEAR = 1996
 
+# Lists of hot keys are broadcast and hold at most rows / hot_key_rows keys; a run
+# over real data wants a million, tests a few dozen.
+LEAST_HOT_ROWS = 16
+
 
 @dataclass(frozen=True)
 class MetricConfig:
@@ -53,8 +57,8 @@ class MetricConfig:
             raise ValueError("min_year is after max_year")
         if self.overall_min_year is not None and self.overall_min_year > self.min_cite_year:
             raise ValueError("overall_min_year must not be after min_cite_year")
-        if self.hot_key_rows < 1:
-            raise ValueError("hot_key_rows must be positive")
+        if self.hot_key_rows < LEAST_HOT_ROWS:
+            raise ValueError(f"hot_key_rows must be at least {LEAST_HOT_ROWS}")
 
     @property
     def label_suffixes(self) -> tuple[str, str, str]:

@@ -95,6 +95,16 @@ def author_sizes(rows: DataFrame) -> DataFrame:
     )
 
 
+def rows_of_core_authors(rows: DataFrame, sizes: DataFrame, cfg: MetricConfig) -> DataFrame:
+    """The rows of authors with enough core papers; what is profiled starts from these.
+
+    ``sizes`` is ``author_sizes(rows)``. Authors that are dropped are often most of
+    all, so this comes before every window and pair join.
+    """
+    enough = sizes.filter(F.col("n_core") >= cfg.min_core_papers).select("auid")
+    return rows.join(enough, "auid", "left_semi")
+
+
 def core_authors(rows: DataFrame, cfg: MetricConfig) -> DataFrame:
     """Authors with enough core papers to be profiled."""
     return author_sizes(rows).filter(F.col("n_core") >= cfg.min_core_papers)

@@ -16,14 +16,22 @@ from laurel.functions.spread import running_totals
 
 BASES = ("ns", "ws")
 
-# The running sum adds fractions such as 1/3 in floating point. A sum that equals
-# a citation count mathematically must not miss it by a rounding error, and the
-# published value must not depend on the order of addition.
+# Shares such as 1/3 are decimals of this many places, so their sums are exact and
+# do not depend on the order of addition. A sum that equals a citation count
+# mathematically must not miss it by what the last place of each share lacks.
+SHARE_PLACES = 15
 TOLERANCE = 1e-9
 DECIMALS = 9
 
-# Paper ids in one range of 2**16 are ordered together on the spread path.
-EID_RANGE_BITS = 16
+# On the spread path 64-bit paper ids are ordered 16 bits at a time, so that no
+# window holds more than 2**16 rows however the ids are distributed.
+ID_LEVELS = (48, 32, 16)
+
+
+def share_of_paper() -> Column:
+    """One author's share of a paper."""
+    share = F.lit(1).cast("decimal(17,15)") / F.col("n_authors").cast("decimal(10,0)")
+    return F.round(share, SHARE_PLACES).cast(f"decimal(16,{SHARE_PLACES})")
 
 
 def kept_rows(cfg: MetricConfig) -> Column:
@@ -41,7 +49,7 @@ def with_positions(rows: DataFrame) -> DataFrame:
     for basis in BASES:
         order = Window.partitionBy("auid").orderBy(F.col(f"{basis}_cites").desc(), "eid")
         rows = rows.withColumn(f"{basis}_r", F.rank().over(order)).withColumn(
-            f"{basis}_r_eff", F.sum(F.lit(1.0) / F.col("n_authors")).over(order)
+            f"{basis}_r_eff", F.sum(share_of_paper()).over(order).cast("double")
         )
     return rows
 
@@ -74,16 +82,16 @@ def author_indices(rows: DataFrame, cfg: MetricConfig) -> DataFrame:
 def author_indices_spread(rows: DataFrame, cfg: MetricConfig) -> DataFrame:
     """Same result for authors with too many rows for one task.
 
-    The order is cut into citations, id range and id, so no window holds more
-    than the distinct citation counts of an author, the id ranges of one such
-    count, or the ids of one range.
+    The order is cut into citations and then 16 bits of the id at a time, so no
+    window holds more than the distinct citation counts of an author or 2**16 ids.
     """
     kept = kept_rows(cfg)
+    ranges = [f"_id_{bits}" for bits in ID_LEVELS]
     by_basis = rows.select(
         "auid",
         "eid",
-        F.shiftright("eid", EID_RANGE_BITS).alias("_range"),
-        (F.lit(1.0) / F.col("n_authors")).alias("share"),
+        *[F.shiftright("eid", bits).alias(f"_id_{bits}") for bits in ID_LEVELS],
+        share_of_paper().alias("share"),
         kept.alias("kept"),
         F.explode(
             F.array(*[
@@ -91,18 +99,18 @@ def author_indices_spread(rows: DataFrame, cfg: MetricConfig) -> DataFrame:
                 for b in BASES
             ])
         ).alias("_b"),
-    ).select("auid", "eid", "_range", "share", "kept", "_b.basis", "_b.cites")
-    cells = by_basis.groupBy("auid", "basis", "cites", "_range", "eid").agg(
+    ).select("auid", "eid", *ranges, "share", "kept", "_b.basis", "_b.cites")
+    cells = by_basis.groupBy("auid", "basis", "cites", *ranges, "eid").agg(
         F.count(F.lit(1)).alias("n"), F.sum("share").alias("share"), F.max("kept").alias("kept")
     )
     placed = running_totals(
         cells,
         ["auid", "basis"],
-        [("cites", "desc"), ("_range", "asc"), ("eid", "asc")],
+        [("cites", "desc"), *[(r, "asc") for r in ranges], ("eid", "asc")],
         ["n", "share"],
     )
     position = F.col("n_before") + 1
-    r_eff = F.col("share_before") + F.col("share")
+    r_eff = (F.col("share_before") + F.col("share")).cast("double")
     per_basis = placed.groupBy("auid", "basis").agg(
         h_of(position, F.col("cites"), F.col("kept")).alias("h"),
         hm_of(r_eff, F.col("cites"), F.col("kept")).alias("hm"),

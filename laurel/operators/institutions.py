@@ -13,41 +13,43 @@ from laurel.functions.spread import spread_join
 def author_affiliations(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
     """One row per (paper, author, affiliation) link with a printed organisation.
 
-    Links are resolved inside the paper's own arrays, so only matching pairs are
-    unfolded. A link that points past the affiliation list is dropped.
+    The links of a paper are unfolded and take their affiliation by its place. Their
+    authors come from a join by paper and author position, so the work grows with
+    the links and not with links times authors, however many a paper has. A link
+    that points past the affiliation list is dropped; a position that several slots
+    share belongs to each of them.
     """
-    links = F.flatten(
-        F.transform(
-            author_slots(),
-            lambda a: F.transform(
-                F.filter("Au_af", lambda link: link["Authorseq"] == a["Authorseq"]),
-                lambda link: F.struct(
-                    author_id(a["auid"]).alias("auid"),
-                    F.get(F.col("Af"), link["affiliation_seq"] - 1).alias("affiliation"),
-                ),
-            ),
-        )
+    linked = F.transform(
+        "Au_af",
+        lambda link: F.struct(
+            link["Authorseq"].alias("seq"),
+            F.get(F.col("Af"), link["affiliation_seq"] - 1).alias("affiliation"),
+        ),
     )
-    return (
+    links = (
         publications.select(
-            "eid",
-            F.col(cfg.year_column).alias("year"),
-            "datesort",
-            F.explode(links).alias("_link"),
+            "eid", F.col(cfg.year_column).alias("year"), "datesort", F.explode(linked).alias("_l")
         )
         .select(
             "eid",
             "year",
             "datesort",
-            "_link.auid",
-            F.col("_link.affiliation.afid").alias("affil_id"),
-            F.col("_link.affiliation.affiliation_organization").alias("_organization"),
-            F.col("_link.affiliation.affiliation_tag_country").alias("cntry"),
+            F.col("_l.seq").alias("_seq"),
+            F.col("_l.affiliation.afid").alias("affil_id"),
+            F.col("_l.affiliation.affiliation_organization").alias("_organization"),
+            F.col("_l.affiliation.affiliation_tag_country").alias("cntry"),
         )
-        .filter(F.col("auid").isNotNull())
         .filter(F.size("_organization") > 0)
+    )
+    slots = (
+        publications.select("eid", F.explode(author_slots()).alias("_a"))
+        .select("eid", F.col("_a.Authorseq").alias("_seq"), author_id(F.col("_a.auid")).alias("auid"))
+        .filter(F.col("auid").isNotNull())
+    )
+    return (
+        links.join(slots, ["eid", "_seq"])
         .withColumn("affil_name", F.array_join("_organization", ", "))
-        .drop("_organization")
+        .select("eid", "year", "datesort", "auid", "affil_id", "cntry", "affil_name")
     )
 
 

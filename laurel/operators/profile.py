@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from laurel.config import MetricConfig
 from laurel.functions.columns import sum_if
-from laurel.functions.spread import spread_join
+from laurel.functions.spread import hot_keys, spread_join
 from laurel.operators.indices import (
     BASES,
     author_indices_spread,
@@ -78,19 +78,25 @@ def distinct_citing(
     rows: DataFrame,
     edges: DataFrame,
     cfg: MetricConfig,
-    hot_cited: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct papers citing an author's papers, ns and ws.
 
     Works on (author, citing paper) pairs, combined on the map side, instead of
-    id lists per author. Authors without citations are absent.
+    id lists per author. Authors without citations are absent. A paper makes as
+    many pairs as it has citations times authors; one with more than
+    ``hot_key_rows`` is cut into slices of its citing papers.
     """
-    papers = rows.filter(kept_rows(cfg) & (F.col("ws_cites") > 0)).select("auid", "eid")
+    papers = rows.filter(kept_rows(cfg) & (F.col("ws_cites") > 0))
+    made = papers.groupBy("eid").agg((F.max("ws_cites") * F.count(F.lit(1))).alias("n_pairs"))
     cited = edges.select(F.col("cited_eid").alias("eid"), "citing_eid", "is_self")
-    if hot_cited is not None:
-        hot_cited = hot_cited.withColumnRenamed("cited_eid", "eid")
     pairs = (
-        spread_join(cited, papers, ["eid"], hot_cited, "citing_eid")
+        spread_join(
+            cited,
+            papers.select("auid", "eid"),
+            ["eid"],
+            hot_keys(made, ["eid"], "n_pairs", cfg.hot_key_rows),
+            "citing_eid",
+        )
         .groupBy("auid", "citing_eid")
         .agg(F.min("is_self").alias("is_self"))
     )

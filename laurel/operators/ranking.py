@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laurel.config import MetricConfig
@@ -37,35 +37,9 @@ def score_ranks(authors: DataFrame, cfg: MetricConfig, save: Save = unsaved) ->
     """``<basis>_rank``, ``<basis>_subfield_rank`` and ``subfield_count`` per author.
 
     Higher scores first, ties share a rank, missing scores last; no subfield rank
-    without a subfield. The size of the author table picks the way: windows while
-    all authors together fit one task, ``score_ranks_spread`` beyond.
-    """
-    if authors.count() <= cfg.hot_key_rows:
-        return score_ranks_windowed(authors)
-    return score_ranks_spread(authors, cfg, save)
-
-
-def score_ranks_windowed(authors: DataFrame) -> DataFrame:
-    """Ranks by plain windows; the global ones order all authors in one task."""
-    everyone = Window.partitionBy(F.lit(1))
-    subfield = Window.partitionBy("subfield_1")
-    placed = F.col("subfield_1").isNotNull()
-    columns = []
-    for b in BASES:
-        best = F.col(f"{b}_c").desc_nulls_last()
-        columns.append(F.rank().over(everyone.orderBy(best)).cast("long").alias(f"{b}_rank"))
-        within = F.rank().over(subfield.orderBy(best)).cast("long")
-        columns.append(F.when(placed, within).alias(f"{b}_subfield_rank"))
-    members = F.count(F.lit(1)).over(subfield)
-    return authors.select("auid", *columns, F.when(placed, members).alias("subfield_count"))
-
-
-def score_ranks_spread(authors: DataFrame, cfg: MetricConfig, save: Save = unsaved) -> DataFrame:
-    """The same ranks for any number of authors.
-
-    All four rankings are one pass: every author is listed once per ranking, equal
-    scores collapse before they are ordered, and the ranks are joined back with
-    frequent scores spread over several tasks.
+    without a subfield. All four rankings are one pass: every author is listed once
+    per ranking, equal scores collapse before they are ordered, and the ranks are
+    joined back with frequent scores spread over several tasks.
     """
     in_subfield = F.col("subfield_1").isNotNull()
     everyone = F.lit("all")

@@ -24,7 +24,7 @@ from laurel.operators import (
 )
 from laurel.plans import reports
 from laurel.sources.reports import write_report
-from laurel.sources.stages import StageStore
+from laurel.sources.stages import StageStore, file_identity
 
 
 @dataclass(frozen=True)
@@ -45,36 +45,43 @@ class Pipeline:
     """
 
     def __init__(
-        self, spark: SparkSession, inputs: Inputs, cfg: MetricConfig, root: str, version: str = ""
+        self, spark: SparkSession, inputs: Inputs, cfg: MetricConfig, root: str, version: str
     ) -> None:
+        """``version`` names the snapshot of the inputs; it must not be empty.
+
+        The key of a stage also covers the files of every input, the labels and the
+        discontinued list, so that changed inputs never reuse a stage.
+        """
+        if not version:
+            raise ValueError("version must name the snapshot of the inputs")
         self.spark = spark
         self.inputs = inputs
         self.cfg = cfg
         listed = inputs.discontinued.select(F.col("srcid")).distinct().agg(
             F.count(F.lit(1)), F.bit_xor(F.xxhash64("srcid"))
         )
-        self.store = StageStore(spark, root, f"{version}|{listed.first()}")
+        named = inputs.labels.agg(
+            F.count(F.lit(1)), F.bit_xor(F.xxhash64("domain", "field", "subfield"))
+        )
+        files = [
+            file_identity(df)
+            for df in (inputs.publications, inputs.institutions, inputs.classification)
+        ]
+        self.store = StageStore(
+            spark, root, f"{version}|{listed.first()}|{named.first()}|{files}"
+        )
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         return self.store.get_or_build(name, self.cfg, lambda: df)
 
-    def _hot(self, name: str, rows: DataFrame, counts: DataFrame, on: str, n: str):
-        """Keys to spread, or None when no key can hold more rows than one task should.
-
-        ``rows`` bounds the rows of any key: while all of them are few, no key is hot
-        and the keys need not be counted.
-        """
-        if rows.count() <= self.cfg.hot_key_rows:
-            return None
-        hot = self.save(name, hot_keys(counts, [on], n, self.cfg.hot_key_rows))
-        return None if hot.isEmpty() else hot
+    def _hot(self, name: str, counts: DataFrame, on: str, n: str) -> DataFrame:
+        """Keys that hold more rows than one task should; often none."""
+        return self.save(name, hot_keys(counts, [on], n, self.cfg.hot_key_rows))
 
     @cached_property
-    def hot_cited(self) -> DataFrame | None:
-        # a paper cites another at most once, so citing papers bound the references to one
-        citing = citations.citing_papers(self.inputs.publications, self.cfg)
+    def hot_cited(self) -> DataFrame:
         counts = citations.reference_counts(self.inputs.publications, self.cfg)
-        return self._hot("hot_cited", citing, counts, "cited_eid", "n_references")
+        return self._hot("hot_cited", counts, "cited_eid", "n_references")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -103,21 +110,33 @@ class Pipeline:
         )
 
     @cached_property
-    def hot_authors(self) -> DataFrame | None:
-        sizes = authorship.author_sizes(self.author_papers)
-        return self._hot("hot_authors", self.author_papers, sizes, "auid", "n_rows")
+    def author_sizes(self) -> DataFrame:
+        return self.save("author_sizes", authorship.author_sizes(self.author_papers))
+
+    @cached_property
+    def core_papers(self) -> DataFrame:
+        """Rows of authors that are profiled: what metrics, citing papers and subjects start from."""
+        return self.save(
+            "core_papers",
+            authorship.rows_of_core_authors(self.author_papers, self.author_sizes, self.cfg),
+        )
+
+    @cached_property
+    def hot_authors(self) -> DataFrame:
+        enough = self.author_sizes.filter(F.col("n_core") >= self.cfg.min_core_papers)
+        return self._hot("hot_authors", enough, "auid", "n_rows")
 
     @cached_property
     def paper_metrics(self) -> DataFrame:
-        return profile.paper_metrics(self.author_papers, self.cfg, self.hot_authors)
+        return profile.paper_metrics(self.core_papers, self.cfg, self.hot_authors)
 
     @cached_property
     def distinct_citing(self) -> DataFrame:
-        return profile.distinct_citing(self.author_papers, self.edges, self.cfg, self.hot_cited)
+        return profile.distinct_citing(self.core_papers, self.edges, self.cfg)
 
     @cached_property
     def subject_counts(self) -> DataFrame:
-        return self.save("subject_counts", subjects.subject_counts(self.author_papers, self.cfg))
+        return self.save("subject_counts", subjects.subject_counts(self.core_papers, self.cfg))
 
     @cached_property
     def subject_volumes(self) -> DataFrame:
@@ -142,7 +161,7 @@ class Pipeline:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return self.save("scored", score.composite_score(self.author_profile, self.log_maxima))
+        return score.composite_score(self.author_profile, self.log_maxima)
 
     @cached_property
     def author_names(self) -> DataFrame:
@@ -153,7 +172,7 @@ class Pipeline:
         links = institutions.author_affiliations(self.inputs.publications, self.cfg)
         chosen = self.save("dominant_affiliation", institutions.dominant_affiliation(links))
         sizes = chosen.groupBy("affil_id").agg(F.count(F.lit(1)).alias("n"))
-        hot = self._hot("hot_institutions", chosen, sizes, "affil_id", "n")
+        hot = self._hot("hot_institutions", sizes, "affil_id", "n")
         return institutions.author_institution(chosen, self.inputs.institutions, hot)
 
     @cached_property
@@ -177,11 +196,11 @@ class Pipeline:
 
     @cached_property
     def table2_subfield(self) -> DataFrame:
-        return reports.table2_subfield(self.thresholds, self.inputs.labels)
+        return reports.table2_subfield(self.thresholds, self.inputs.labels, self.cfg)
 
     @cached_property
     def table2_field(self) -> DataFrame:
-        return reports.table2_field(self.thresholds, self.inputs.labels)
+        return reports.table2_field(self.thresholds, self.inputs.labels, self.cfg)
 
     @cached_property
     def table3(self) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from laurel.config import MetricConfig
 from laurel.functions.columns import percent, ratio, sum_if
 from laurel.functions.ranks import value_ranks
+from laurel.functions.spread import hot_keys, spread_join
 from laurel.operators.ranking import is_top_listed, subfield_position
 from laurel.operators.score import MEASURES
 from laurel.operators.thresholds import TOTAL, with_total
@@ -165,14 +166,23 @@ def table1_dictionary(spark: SparkSession, cfg: MetricConfig) -> DataFrame:
     return spark.createDataFrame(rows, "FIELD string, BASIS string, DESCRIPTION string")
 
 
-def _threshold_columns() -> list:
+def short_count(n: int) -> str:
+    """100000 -> ``100k``: how a cut-off is named in labels."""
+    for size, unit in ((1_000_000, "m"), (1_000, "k")):
+        if n and n % size == 0:
+            return f"{n // size}{unit}"
+    return str(n)
+
+
+def _threshold_columns(cfg: MetricConfig) -> list:
+    first = short_count(cfg.rank_cutoff)
     share = lambda part: percent(ratio(part, "n_authors"))
     columns = [
         F.col("n_authors").alias("#Auth"),
-        F.col("n_top_rank_ns").alias("#Auth top 100k (ns)"),
-        share("n_top_rank_ns").alias("% in 100k (ns)"),
-        F.col("n_top_rank").alias("#Auth top 100k"),
-        share("n_top_rank").alias("% in 100k"),
+        F.col("n_top_rank_ns").alias(f"#Auth top {first} (ns)"),
+        share("n_top_rank_ns").alias(f"% in {first} (ns)"),
+        F.col("n_top_rank").alias(f"#Auth top {first}"),
+        share("n_top_rank").alias(f"% in {first}"),
         F.col("n_top_list").alias("#Auth in top-list"),
         share("n_top_list").alias("% in top-list"),
     ]
@@ -198,7 +208,7 @@ def table2_kinds(columns) -> dict[str, str]:
     return dict(zip(columns[-len(_TABLE2_KINDS):], _TABLE2_KINDS))
 
 
-def table2_subfield(thresholds: DataFrame, labels: DataFrame) -> DataFrame:
+def table2_subfield(thresholds: DataFrame, labels: DataFrame, cfg: MetricConfig) -> DataFrame:
     """Table 2a: thresholds per subfield with its domain and field; TOTAL comes last."""
     name = F.coalesce("subject", F.lit("Unassigned"))
     named = with_total(thresholds, "subfield").join(
@@ -212,11 +222,11 @@ def table2_subfield(thresholds: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("domain").alias("Domain"),
         F.col("field").alias("Field"),
         name.alias("Subfield"),
-        *_threshold_columns(),
+        *_threshold_columns(cfg),
     )
 
 
-def table2_field(thresholds: DataFrame, labels: DataFrame) -> DataFrame:
+def table2_field(thresholds: DataFrame, labels: DataFrame, cfg: MetricConfig) -> DataFrame:
     """Table 2b: thresholds per field with its domain; TOTAL comes last."""
     name = F.coalesce("subject", F.lit("Unassigned"))
     domains = labels.select(F.col("field").alias("subject"), "domain").distinct()
@@ -228,7 +238,7 @@ def table2_field(thresholds: DataFrame, labels: DataFrame) -> DataFrame:
             F.when(name == TOTAL, F.lit("ZZ")).otherwise(name),
         )
         .select(
-            F.col("domain").alias("Domain"), name.alias("Field"), *_threshold_columns()
+            F.col("domain").alias("Domain"), name.alias("Field"), *_threshold_columns(cfg)
         )
     )
 
@@ -243,6 +253,11 @@ def table3(maxima: DataFrame, cfg: MetricConfig) -> DataFrame:
     )
 
 
+def table3_kinds(columns) -> dict[str, str]:
+    """Column kinds of Table 3: all are decimal numbers."""
+    return dict.fromkeys(columns, "dec")
+
+
 def dataset_stats(ranked: DataFrame, thresholds: DataFrame, cfg: MetricConfig) -> DataFrame:
     """One row: size of the top list and what leaving out self-citations changes.
 
@@ -253,6 +268,7 @@ def dataset_stats(ranked: DataFrame, thresholds: DataFrame, cfg: MetricConfig) -
     limits = thresholds.filter(
         (F.col("level") == "subfield") & F.col("subject").isNotNull()
     ).select(F.col("subject").alias("subfield_1"), F.col("top_cite_ratio_99").alias("_limit"))
+    share = f"{cfg.subfield_fraction * 100:g}p"
     listed, ws, ns = F.col("top_listed"), subfield_position("ws"), subfield_position("ns")
     best = ws <= cfg.subfield_fraction
     placed = F.col("subfield_1").isNotNull()
@@ -263,9 +279,9 @@ def dataset_stats(ranked: DataFrame, thresholds: DataFrame, cfg: MetricConfig) -
             F.count(F.lit(1)).alias("totalcount"),
             sum_if(listed).alias("toplist_count"),
             sum_if(listed & placed).alias("toplist_count_w_subfield"),
-            sum_if(best).alias("auths_top2p_ws"),
-            sum_if(best & (ns > cfg.subfield_fraction)).alias("auths_top2p_ws_not_ns"),
-            sum_if(best & (ns > 0.1)).alias("auths_top2p_ws_not_top_10p_ns"),
+            sum_if(best).alias(f"auths_top{share}_ws"),
+            sum_if(best & (ns > cfg.subfield_fraction)).alias(f"auths_top{share}_ws_not_ns"),
+            sum_if(best & (ns > 0.1)).alias(f"auths_top{share}_ws_not_top_10p_ns"),
             sum_if(listed & (F.col("ws_cite_ratio") >= F.col("_limit"))).alias(
                 "x3_cprat_above_p99_top-list"
             ),
@@ -275,9 +291,11 @@ def dataset_stats(ranked: DataFrame, thresholds: DataFrame, cfg: MetricConfig) -
         )
     )
     return stats.withColumns({
-        "x1_fraction_2p_ws_2p_ns_dropout": ratio("auths_top2p_ws_not_ns", "auths_top2p_ws"),
-        "x2_fraction_2p_ws_10p_ns_dropout": ratio(
-            "auths_top2p_ws_not_top_10p_ns", "auths_top2p_ws"
+        f"x1_fraction_{share}_ws_{share}_ns_dropout": ratio(
+            F.col(f"`auths_top{share}_ws_not_ns`"), F.col(f"`auths_top{share}_ws`")
+        ),
+        f"x2_fraction_{share}_ws_10p_ns_dropout": ratio(
+            F.col(f"`auths_top{share}_ws_not_top_10p_ns`"), F.col(f"`auths_top{share}_ws`")
         ),
         "x3_fraction_above_p99": ratio(
             F.col("`x3_cprat_above_p99_top-list`"), F.col("toplist_count_w_subfield_w_ws_cprat")
@@ -286,15 +304,16 @@ def dataset_stats(ranked: DataFrame, thresholds: DataFrame, cfg: MetricConfig) -
 
 
 def ratio_distribution(
-    ranked: DataFrame, cfg: MetricConfig, subfield: str, max_ratio: float = 4.0
+    ranked: DataFrame, cfg: MetricConfig, subfield: str | None = None, max_ratio: float = 4.0
 ) -> DataFrame:
-    """Position of each author's cites per citing paper inside one subfield.
+    """Position of each author's cites per citing paper inside the own subfield.
 
-    Authors without a ratio take no position and are not in the denominator.
+    All subfields at once, or only the named one. Authors without a ratio take no
+    position and are not in the denominator. Ratios that many authors share, such as
+    1, are spread over several tasks.
     """
-    members = ranked.filter(
-        (F.col("subfield_1") == subfield) & F.col("ws_cite_ratio").isNotNull()
-    ).select(
+    placed = F.col("subfield_1").isNotNull() if subfield is None else F.col("subfield_1") == subfield
+    members = ranked.filter(placed & F.col("ws_cite_ratio").isNotNull()).select(
         "subfield_1",
         "author_id",
         "ws_cite_ratio",
@@ -303,13 +322,16 @@ def ratio_distribution(
         is_top_listed(cfg).alias("top_listed"),
     )
     on = ["subfield_1", "ws_cite_ratio"]
-    below = value_ranks(members, ["subfield_1"], "ws_cite_ratio").select(
+    ranks = value_ranks(members, ["subfield_1"], "ws_cite_ratio")
+    below = ranks.select(
         *on, (F.col("n_group") - F.col("n_before") - F.col("n") + 1).alias("_position"), "n_group"
     )
+    shown = members.filter(F.col("ws_cite_ratio") < max_ratio)
+    hot = hot_keys(ranks, on, "n", cfg.hot_key_rows)
     return (
-        members.filter(F.col("ws_cite_ratio") < max_ratio)
-        .join(below, on)
+        spread_join(shown, below, on, hot, "author_id")
         .select(
+            "subfield_1",
             "author_id",
             "ws_cite_ratio",
             ratio("_position", "n_group").alias("ratio_position"),

@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from laurel.config import MetricConfig
 
-_scratch: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without that setting gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        _scratch[app] = tempfile.mkdtemp(prefix="laurel-")
-    return _scratch[app]
+def file_identity(df: DataFrame) -> str:
+    """Digest of the files that a table is read from; empty for a table that is not read from files."""
+    files = sorted(df.inputFiles())
+    return hashlib.sha256("\n".join(files).encode()).hexdigest()[:16] if files else ""
 
 
 class StageStore:
@@ -51,6 +38,8 @@ class StageStore:
     ) -> DataFrame:
         """Read the stage, writing it first unless a complete one is there.
 
+        Stages belong on storage that all executors share.
+
         File count and size follow the shuffle partitions AQE settles on; reading
         back gives Catalyst the true size of the stage for its join choices.
         """

@@ -6,9 +6,10 @@ of the pre-aggregation, bucketing or staging of the Spark side.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from laurel_registry.queries import DISTRIBUTION_SUBFIELD
+from laurel_registry.queries import HOT
+from laurel_registry.tables import SPLIT
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,17 @@ class Run:
     preprints: bool = False
     cutoff: int = 100
     fraction: float = 0.05
+    max_cite: int | None = None
+    strict: bool = False
 
+    @property
+    def years(self) -> tuple[str, str, str]:
+        return tuple(f"{y % 100:02d}" for y in (self.min_year, self.min_cite_year, self.max_year))
+
+
+_RUN = Run()
+_LOWER = Run(lower=1996, preprints=True)
+_SINGLE = Run(min_cite_year=2000)
 
 COUNTED = "('CORE', 'MEDL')"
 MEASURES = ("nc", "h", "hm", "ncs", "ncsf", "ncsfl")
@@ -41,10 +52,11 @@ def _ctes(run: Run) -> dict[str, str]:
                     WHEN o_orderkey % 3 = 0 THEN 'MEDL' ELSE 'CORE' END coll,
                o_custkey custkey
         FROM orders"""
-    c["au"] = """
+    author = f"CASE WHEN l_partkey % 5 < 2 THEN (l_partkey + 1) * {SPLIT} + l_orderkey % 40 ELSE l_partkey END"
+    c["au"] = f"""
         SELECT eid, auid, CAST(row_number() OVER (PARTITION BY eid ORDER BY ln, auid) AS INTEGER) seq,
                CAST(count(*) OVER (PARTITION BY eid) AS INTEGER) n
-        FROM (SELECT l_orderkey eid, l_partkey auid, min(l_linenumber) ln
+        FROM (SELECT l_orderkey eid, {author} auid, min(l_linenumber) ln
               FROM lineitem GROUP BY l_orderkey, l_partkey) slots
         WHERE eid IN (SELECT o_orderkey FROM orders)"""
     c["refs"] = """
@@ -57,11 +69,12 @@ def _ctes(run: Run) -> dict[str, str]:
     c["edge"] = f"""
         SELECT r.citing, r.cited, CASE WHEN a.srcid < 7 THEN 1 ELSE 0 END disc
         FROM refs r JOIN paper a ON a.eid = r.citing JOIN paper b ON b.eid = r.cited
-        WHERE a.yr >= {run.min_cite_year} AND a.coll IN {COUNTED}"""
-    c["selfs"] = """
+        WHERE a.yr >= {run.min_cite_year} AND a.coll IN {COUNTED}
+          AND a.yr <= {9999 if run.max_cite is None else run.max_cite}"""
+    c["selfs"] = f"""
         SELECT DISTINCT e.citing, e.cited
         FROM edge e JOIN au x ON x.eid = e.citing JOIN au y ON y.eid = e.cited AND y.auid = x.auid
-        WHERE x.auid > 4"""
+        WHERE x.auid > {0 if run.strict else 4}"""
     c["edges"] = """
         SELECT e.citing, e.cited, e.disc, CASE WHEN s.citing IS NULL THEN 0 ELSE 1 END self
         FROM edge e LEFT JOIN selfs s ON s.citing = e.citing AND s.cited = e.cited"""
@@ -124,7 +137,7 @@ def _ctes(run: Run) -> dict[str, str]:
     c["citing"] = f"""
         SELECT a.auid, count(DISTINCT CASE WHEN e.self = 0 THEN e.citing END) ns_cp,
                count(DISTINCT e.citing) ws_cp
-        FROM ap a JOIN edges e ON e.cited = a.eid WHERE {kept.replace('yr', 'a.yr')} GROUP BY a.auid"""
+        FROM elig a JOIN edges e ON e.cited = a.eid WHERE {kept.replace('yr', 'a.yr')} GROUP BY a.auid"""
     for level, col in (("sub", "sf"), ("fld", "f")):
         c[f"{level}_n"] = f"""
             SELECT DISTINCT auid, {col} s, n_f, yr, count(*) OVER (PARTITION BY auid, {col}) n_mine,
@@ -161,7 +174,7 @@ def _ctes(run: Run) -> dict[str, str]:
         SELECT *, {totals}, (ws_nc - ns_nc) / CAST(nullif(ws_nc, 0) AS DOUBLE) self_share,
                ns_nc / CAST(nullif(ns_cp, 0) AS DOUBLE) ns_ratio,
                ws_nc / CAST(nullif(ws_cp, 0) AS DOUBLE) ws_ratio FROM fr"""
-    c["nm"] = """
+    c["nm"] = f"""
         SELECT auid, eid name_eid,
                coalesce(surname || ', ' || coalesce(given, initials), pref, idx) authfull, lo, hi
         FROM (
@@ -175,10 +188,11 @@ def _ctes(run: Run) -> dict[str, str]:
                    CASE WHEN p.eid % 4 <> 0 THEN 1 ELSE 0 END DESC, p.ds DESC, p.eid DESC,
                    au.seq DESC) r,
                  min(p.yr) OVER (PARTITION BY au.auid) lo, max(p.yr) OVER (PARTITION BY au.auid) hi
-          FROM au JOIN paper p ON p.eid = au.eid JOIN part t ON t.p_partkey = au.auid) x
+          FROM au JOIN paper p ON p.eid = au.eid
+            JOIN part t ON t.p_partkey = CASE WHEN au.auid >= {SPLIT} THEN au.auid // {SPLIT} - 1 ELSE au.auid END) x
         WHERE r = 1"""
-    c["links"] = """
-        SELECT DISTINCT l.l_orderkey eid, l.l_partkey auid, l.l_suppkey afid, p.yr, p.ds,
+    c["links"] = f"""
+        SELECT DISTINCT l.l_orderkey eid, {author} auid, l.l_suppkey afid, p.yr, p.ds,
                'Dept ' || (l.l_orderkey % 3) || ', ' || s.s_name printed, n.n_name cntry
         FROM lineitem l JOIN paper p ON p.eid = l.l_orderkey
           JOIN supplier s ON s.s_suppkey = l.l_suppkey
@@ -273,10 +287,6 @@ def _rounded_thresholds(source: str) -> str:
     return f"SELECT * REPLACE ({floating}) FROM {source}"
 
 
-_RUN = Run()
-_LOWER = Run(lower=1996, preprints=True)
-
-
 def _needed(name: str, ctes: dict[str, str], found: dict[str, None]) -> None:
     """Collect the named block and every block its text mentions, dependencies first."""
     words = set("".join(ch if ch.isalnum() or ch == "_" else " " for ch in ctes[name]).split())
@@ -296,7 +306,7 @@ def _sql(body: str, run: Run = _RUN) -> str:
         if name in words and name not in found:
             _needed(name, ctes, found)
     blocks = ",\n".join(f"{n} AS MATERIALIZED ({ctes[n].strip()})" for n in found)
-    return f"WITH {blocks}\n{body}"
+    return f"WITH {blocks}\n{body}" if blocks else body
 
 
 def _pct(expr: str, unit: str) -> str:
@@ -336,15 +346,17 @@ def _both(*names: str) -> list[str]:
     return [f"{b}_{n}" for b in ("ns", "ws") for n in names]
 
 
-def _table1_sql(numeric: bool) -> str:
+def _table1_sql(numeric: bool, run: Run = _RUN) -> str:
+    y0, y1, y2 = run.years
+
     def basis(b: str) -> list[tuple[str, str]]:
         tail = " (ns)" if b == "ns" else ""
         return [(label + tail, source) for label, source in (
-            ("rank", f"{b}_rank"), ("nc9700", f"{b}_nc"), ("h00", f"{b}_h"),
-            ("hm00", f"round({b}_hm, 6)"), ("nps", f"{b}_nps"), ("ncs", f"{b}_ncs"),
+            ("rank", f"{b}_rank"), (f"nc{y1}{y2}", f"{b}_nc"), (f"h{y2}", f"{b}_h"),
+            (f"hm{y2}", f"round({b}_hm, 6)"), ("nps", f"{b}_nps"), ("ncs", f"{b}_ncs"),
             ("npsf", f"{b}_npsf"), ("ncsf", f"{b}_ncsf"), ("npsfl", f"{b}_npsfl"),
             ("ncsfl", f"{b}_ncsfl"), ("c", f"round({b}_c, 6)"), ("npciting", f"{b}_cp"),
-            ("cprat", f"round({b}_ratio, 6)"), ("np9500 cited9700", f"{b}_npc_range"),
+            ("cprat", f"round({b}_ratio, 6)"), (f"np{y0}{y2} cited{y1}{y2}", f"{b}_npc_range"),
         )]
 
     share = "round(round(self_share * 100, 2) / 100, 6)" if numeric else _pct("self_share", " %")
@@ -352,9 +364,9 @@ def _table1_sql(numeric: bool) -> str:
     columns = [
         ("author_id", "auid"), ("authfull", "replace(authfull, '\"', '')"),
         ("inst_name", "replace(inst_name, '\"', '')"), ("cntry", "cntry"),
-        ("np9500", "np_range"), ("firstyr", year.format("lo")), ("lastyr", year.format("hi")),
+        (f"np{y0}{y2}", "np_range"), ("firstyr", year.format("lo")), ("lastyr", year.format("hi")),
         *basis("ns"), ("self%", share), *basis("ws"),
-        ("np9500_d", "np_range_d"), ("nc9700_d", "ws_nc_d"),
+        (f"np{y0}{y2}_d", "np_range_d"), (f"nc{y1}{y2}_d", "ws_nc_d"),
         ("sm-subfield-1", "subfield_1"), ("sm-subfield-1-frac", "round(subfield_1_frac, 6)"),
         ("sm-subfield-2", "subfield_2"), ("sm-subfield-2-frac", "round(subfield_2_frac, 6)"),
         ("sm-field", "field_1"), ("sm-field-frac", "round(field_1_frac, 6)"),
@@ -374,9 +386,9 @@ def _table2_sql(level: str, numeric: bool = False) -> str:
         return f"round(round({value} * 100, 2) / 100, 6)" if numeric else _pct(value, " %")
 
     columns = [
-        ("#Auth", "n_authors"), ("#Auth top 100k (ns)", "n_top_rank_ns"),
-        ("% in 100k (ns)", share("n_top_rank_ns")), ("#Auth top 100k", "n_top_rank"),
-        ("% in 100k", share("n_top_rank")), ("#Auth in top-list", "n_top_list"),
+        ("#Auth", "n_authors"), ("#Auth top 100 (ns)", "n_top_rank_ns"),
+        ("% in 100 (ns)", share("n_top_rank_ns")), ("#Auth top 100", "n_top_rank"),
+        ("% in 100", share("n_top_rank")), ("#Auth in top-list", "n_top_list"),
         ("% in top-list", share("n_top_list")),
         *[(f"Cites@{p}", f"cites_{p}") for p in WIDE],
         *[(f"c@{p}", f"round(c_{p}, 3)") for p in WIDE],
@@ -476,13 +488,18 @@ def oracle_sql() -> dict[str, str]:
             for x, label in zip(MEASURES, ("nc9700", "h00", "hm00", "ncs", "ncsf", "ncsfl"))
         ) + " FROM mx",
         "typed_report": _table2_sql("subfield", numeric=True),
+        "typed_table2_field": _table2_sql("field", numeric=True),
+        "read_institutions": "SELECT s_suppkey afid, 'Inst ' || s_name preferred_name FROM supplier "
+        "WHERE s_suppkey % 4 <> 0",
+        "read_labels": "SELECT dom AS domain, f field, sf subfield FROM lab",
+        "read_discontinued": "SELECT CAST(n_nationkey AS BIGINT) srcid FROM nation WHERE n_nationkey < 7",
         "dataset_stats": _dataset_stats_sql(_RUN),
-        "ratio_distribution": f"""
-            SELECT auid author_id, round(ws_ratio, 6) ws_cite_ratio, round(pos, 6) ratio_position,
-                   ws_nc, ws_cp ws_nc_citing, top top_listed
-            FROM (SELECT *, rank() OVER (ORDER BY ws_ratio) / CAST(count(*) OVER () AS DOUBLE) pos
-                  FROM ranked WHERE subfield_1 = '{DISTRIBUTION_SUBFIELD}'
-                    AND ws_ratio IS NOT NULL) x
+        "ratio_distribution": """
+            SELECT subfield_1, auid author_id, round(ws_ratio, 6) ws_cite_ratio,
+                   round(pos, 6) ratio_position, ws_nc, ws_cp ws_nc_citing, top top_listed
+            FROM (SELECT *, rank() OVER (PARTITION BY subfield_1 ORDER BY ws_ratio)
+                    / CAST(count(*) OVER (PARTITION BY subfield_1) AS DOUBLE) pos
+                  FROM ranked WHERE subfield_1 IS NOT NULL AND ws_ratio IS NOT NULL) x
             WHERE ws_ratio < 4""",
         "uniqueness_check": """
             SELECT count(*) n_rows, count(CASE WHEN n > 1 THEN 1 END) n_repeated_rows
@@ -492,7 +509,14 @@ def oracle_sql() -> dict[str, str]:
         "stage_roundtrip": "SELECT eid, ws ws_cites, selfs self_cites, ns ns_cites, "
         "dc discontinued_cites FROM cnt",
     }
+    sql["typed_table3"] = sql["table3"]
     built = {name: _sql(body) for name, body in sql.items()}
+    built |= {f"{name}_hot": built[name] for name in HOT}
+    built["table1_single_year"] = _sql(_table1_sql(False, _SINGLE), _SINGLE)
+    built["table2_subfield_single_year"] = _sql(sql["table2_subfield"], _SINGLE)
+    built["strict_self_citations"] = _sql(sql["self_citations"], replace(_RUN, strict=True))
+    built["max_cite_year"] = _sql(sql["citation_counts"], replace(_RUN, max_cite=1999))
+    built["with_preprints"] = _sql(sql["paper_counts"], replace(_RUN, preprints=True))
     built["overall_lower_year"] = _sql(
         "SELECT auid, np, np_range, "
         + _cols(*m("nc", "h", "hm", "nps", "ncsfl", "npc", "nc_citing")) + " FROM prof",
@@ -505,19 +529,19 @@ def _dataset_stats_sql(run: Run) -> str:
     best = f"ws_srank / CAST(s_count AS DOUBLE) <= {run.fraction}"
     ns = "ns_srank / CAST(s_count AS DOUBLE)"
     return f"""
-        SELECT *, round(auths_top2p_ws_not_ns / CAST(nullif(auths_top2p_ws, 0) AS DOUBLE), 6)
-                 x1_fraction_2p_ws_2p_ns_dropout,
-               round(auths_top2p_ws_not_top_10p_ns / CAST(nullif(auths_top2p_ws, 0) AS DOUBLE), 6)
-                 x2_fraction_2p_ws_10p_ns_dropout,
+        SELECT *, round(auths_top5p_ws_not_ns / CAST(nullif(auths_top5p_ws, 0) AS DOUBLE), 6)
+                 x1_fraction_5p_ws_5p_ns_dropout,
+               round(auths_top5p_ws_not_top_10p_ns / CAST(nullif(auths_top5p_ws, 0) AS DOUBLE), 6)
+                 x2_fraction_5p_ws_10p_ns_dropout,
                round("x3_cprat_above_p99_top-list"
                  / CAST(nullif(toplist_count_w_subfield_w_ws_cprat, 0) AS DOUBLE), 6)
                  x3_fraction_above_p99
         FROM (
           SELECT count(*) totalcount, count(CASE WHEN top THEN 1 END) toplist_count,
                  count(CASE WHEN top THEN subfield_1 END) toplist_count_w_subfield,
-                 count(CASE WHEN {best} THEN 1 END) auths_top2p_ws,
-                 count(CASE WHEN {best} AND {ns} > {run.fraction} THEN 1 END) auths_top2p_ws_not_ns,
-                 count(CASE WHEN {best} AND {ns} > 0.1 THEN 1 END) auths_top2p_ws_not_top_10p_ns,
+                 count(CASE WHEN {best} THEN 1 END) auths_top5p_ws,
+                 count(CASE WHEN {best} AND {ns} > {run.fraction} THEN 1 END) auths_top5p_ws_not_ns,
+                 count(CASE WHEN {best} AND {ns} > 0.1 THEN 1 END) auths_top5p_ws_not_top_10p_ns,
                  count(CASE WHEN top AND ws_ratio >= p99 THEN 1 END) "x3_cprat_above_p99_top-list",
                  count(CASE WHEN top AND subfield_1 IS NOT NULL THEN ws_ratio END)
                    toplist_count_w_subfield_w_ws_cprat

@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from laurel_registry.tables import CONFIG, LOWER_YEAR_CONFIG, pipeline
+from laurel_registry.tables import (
+    CONFIG,
+    HOT_CONFIG,
+    LOWER_YEAR_CONFIG,
+    MAX_CITE_CONFIG,
+    PREPRINT_CONFIG,
+    SINGLE_YEAR_CONFIG,
+    STRICT_CONFIG,
+    pipeline,
+)
 from laurel.functions.columns import author_slots
 from laurel.operators import authorship, checks, profile, score, subjects, thresholds
 from laurel.operators.indices import BASES
@@ -16,8 +25,6 @@ from laurel.plans import reports
 from laurel.plans.pipeline import Pipeline
 from laurel.sources.reports import read_report, text_schema, typed_report, write_report
 
-DISTRIBUTION_SUBFIELD = "NATION_7"
-
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Floating columns to a fixed number of places, for the comparison by value."""
@@ -99,6 +106,14 @@ def _typed_table2(p: Pipeline) -> DataFrame:
     return typed_report(p.table2_subfield, reports.table2_kinds(p.table2_subfield.columns))
 
 
+def _typed_table2_field(p: Pipeline) -> DataFrame:
+    return typed_report(p.table2_field, reports.table2_kinds(p.table2_field.columns))
+
+
+def _typed_table3(p: Pipeline) -> DataFrame:
+    return typed_report(p.table3, reports.table3_kinds(p.table3.columns))
+
+
 def _report_roundtrip(p: Pipeline) -> DataFrame:
     path = f"{p.store.root}/reports/{p.cfg.artifact_name('Table_1_Authors')}"
     write_report(p.table1, path)
@@ -108,12 +123,15 @@ def _report_roundtrip(p: Pipeline) -> DataFrame:
 
 def _stage_roundtrip(p: Pipeline) -> DataFrame:
     counts = p.save("citation_counts", p.citation_counts)
-    again = p.store.get_or_build("citation_counts", p.cfg, lambda: counts.limit(0))
-    return again
+
+    def build() -> DataFrame:
+        raise RuntimeError("the stage was written and must be read, not built again")
+
+    return p.store.get_or_build("citation_counts", p.cfg, build).select(counts.columns)
 
 
 def _distribution(p: Pipeline) -> DataFrame:
-    return reports.ratio_distribution(p.ranked, p.cfg, DISTRIBUTION_SUBFIELD)
+    return reports.ratio_distribution(p.ranked, p.cfg)
 
 
 PLANS: dict[str, Callable[[Pipeline], DataFrame]] = {
@@ -156,6 +174,11 @@ PLANS: dict[str, Callable[[Pipeline], DataFrame]] = {
     "table2_field": lambda p: p.table2_field,
     "table3": lambda p: p.table3,
     "typed_report": _typed_table2,
+    "typed_table2_field": _typed_table2_field,
+    "typed_table3": _typed_table3,
+    "read_institutions": lambda p: p.inputs.institutions,
+    "read_labels": lambda p: p.inputs.labels,
+    "read_discontinued": lambda p: p.inputs.discontinued,
     "dataset_stats": lambda p: p.dataset_stats,
     "ratio_distribution": _distribution,
     "uniqueness_check": _uniqueness,
@@ -174,10 +197,24 @@ def _lower_year(p: Pipeline) -> DataFrame:
     )
 
 
+# registered again with hot keys all over
+HOT = (
+    "citation_edges", "distinct_citing", "h_index", "hm_index", "global_rank", "subfield_rank",
+    "author_institution", "thresholds_total", "ratio_distribution",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def over(plan, cfg):
         return lambda spark, sf_dir: rounded(plan(pipeline(spark, sf_dir, cfg)))
 
     registered = {name: over(plan, CONFIG) for name, plan in PLANS.items()}
     registered["overall_lower_year"] = over(_lower_year, LOWER_YEAR_CONFIG)
+    for name in HOT:
+        registered[f"{name}_hot"] = over(PLANS[name], HOT_CONFIG)
+    for name in ("table1", "table2_subfield"):
+        registered[f"{name}_single_year"] = over(PLANS[name], SINGLE_YEAR_CONFIG)
+    registered["strict_self_citations"] = over(PLANS["self_citations"], STRICT_CONFIG)
+    registered["max_cite_year"] = over(PLANS["citation_counts"], MAX_CITE_CONFIG)
+    registered["with_preprints"] = over(PLANS["paper_counts"], PREPRINT_CONFIG)
     return registered

@@ -11,6 +11,7 @@ ones, the differences some negative ids that no paper has, one pair a repeat.
 from __future__ import annotations
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from laurel import schemas
 from laurel.config import MetricConfig
 from laurel.plans.pipeline import Inputs, Pipeline
 from laurel.sources import readers
-from laurel.sources.stages import StageStore, shared_folder
+from laurel.sources.stages import StageStore
+from laurel_registry.scratch import scratch_folder
 
 CONFIG = MetricConfig(
     collections=("CORE", "MEDL"),
@@ -31,6 +33,16 @@ CONFIG = MetricConfig(
     stamp="20010801",
 )
 
+# the same run with so low a limit that hot papers, authors, scores and institutions occur
+HOT_CONFIG = replace(CONFIG, hot_key_rows=25)
+# citations of the last year alone
+SINGLE_YEAR_CONFIG = replace(CONFIG, min_cite_year=2000)
+# citations until the year before the last
+MAX_CITE_CONFIG = replace(CONFIG, max_cite_year=1999)
+# placeholder authors make self-citations too
+STRICT_CONFIG = replace(CONFIG, strict_reference=True)
+PREPRINT_CONFIG = replace(CONFIG, include_preprints=True)
+
 # same run with a lower year bound and preprints counted
 LOWER_YEAR_CONFIG = MetricConfig(
     collections=("CORE", "MEDL"),
@@ -45,6 +57,10 @@ LOWER_YEAR_CONFIG = MetricConfig(
 )
 
 
+# ids of the authors that one part stands for: part key plus one, times this, plus a number below 40
+SPLIT = 10_000_000_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,16 +88,21 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     supplier = _table(spark, sf_dir, "supplier")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    # two of five parts stand for many authors each, none with enough papers to be profiled
+    author = F.when(
+        F.col("l_partkey") % 5 < 2, (F.col("l_partkey") + 1) * SPLIT + F.col("l_orderkey") % 40
+    ).otherwise(F.col("l_partkey"))
     lines = _table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("eid"),
-        F.col("l_partkey").alias("auid"),
+        F.col("l_partkey").alias("partkey"),
+        author.alias("auid"),
         F.col("l_suppkey").alias("afid"),
         "l_linenumber",
     )
     slots = (
-        lines.groupBy("eid", "auid")
+        lines.groupBy("eid", "auid", "partkey")
         .agg(F.min("l_linenumber").alias("line"), F.collect_set("afid").alias("afids"))
-        .join(part, F.col("auid") == F.col("p_partkey"))
+        .join(part, F.col("partkey") == F.col("p_partkey"))
     )
     given = F.when(F.col("eid") % 4 != 0, F.concat(F.lit("G"), (F.col("eid") % 9).cast("string")))
     author = F.struct(
@@ -210,14 +231,16 @@ def paper_subfields(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def discontinued(spark: SparkSession) -> DataFrame:
-    return spark.range(7).select(F.col("id").alias("srcid"))
+def discontinued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven source ids, one of each of the first nations."""
+    nation = _table(spark, sf_dir, "nation").filter("n_nationkey < 7")
+    return nation.select(F.col("n_nationkey").cast("long").alias("srcid"))
 
 
 def _root(spark: SparkSession, sf_dir: str) -> str:
     """One folder per application and data folder: no run sees another's stages."""
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/laurel-{app}/{os.path.basename(sf_dir.rstrip('/'))}"
+    return f"{scratch_folder(spark)}/laurel-{app}/{os.path.basename(sf_dir.rstrip('/'))}"
 
 
 def inputs(spark: SparkSession, sf_dir: str, root: str | None = None) -> Inputs:
@@ -225,16 +248,23 @@ def inputs(spark: SparkSession, sf_dir: str, root: str | None = None) -> Inputs:
     store = StageStore(spark, root or _root(spark, sf_dir), sf_dir)
     publication_table = store.path("publications", CONFIG)
     store.get_or_build("publications", CONFIG, lambda: publications(spark, sf_dir))
-    names = labels(spark, sf_dir)
-    store.get_or_build("paper_subfields", CONFIG, lambda: paper_subfields(spark, sf_dir))
+    tables = {
+        "paper_subfields": lambda: paper_subfields(spark, sf_dir),
+        "labels": lambda: labels(spark, sf_dir),
+        "institutions": lambda: institutions(spark, sf_dir),
+        "discontinued": lambda: discontinued(spark, sf_dir),
+    }
+    for name, build in tables.items():
+        store.get_or_build(name, CONFIG, build)
+    names = readers.read_labels(spark, store.path("labels", CONFIG))
     return Inputs(
         publications=readers.read_publications(spark, publication_table),
-        institutions=institutions(spark, sf_dir),
+        institutions=readers.read_institutions(spark, store.path("institutions", CONFIG)),
         classification=readers.read_classification(
             spark, store.path("paper_subfields", CONFIG), names
         ),
         labels=names,
-        discontinued=discontinued(spark),
+        discontinued=readers.read_discontinued(spark, store.path("discontinued", CONFIG)),
     )
 
 

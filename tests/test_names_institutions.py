@@ -91,3 +91,19 @@ def test_spread_left_join_keeps_every_author(spark):
     spread = institutions.author_institution(chosen, ipr, hot)
     assert sorted(map(repr, plain.collect())) == sorted(map(repr, spread.collect()))
     assert plain.count() == 61
+
+
+def test_a_paper_with_thousands_of_authors_and_links(spark, publications, cfg):
+    many = 5_000
+    rows = [paper(1, authors=list(range(10, 10 + many)), links=[(i, i % 50 + 1) for i in range(1, many + 1)],
+                  affiliations=[(a, [f"A{a}"], "X") for a in range(50)])]
+    links = institutions.author_affiliations(publications(rows), cfg)
+    got = {r.auid: r.affil_id for r in links.collect()}
+    assert got == {9 + i: i % 50 for i in range(1, many + 1)}
+
+
+def test_a_position_that_two_slots_share_belongs_to_both(spark, publications, cfg):
+    people = [(str(a), 1, None, None, None, None, None) for a in (10, 11)]
+    rows = [paper(1, authors=people, links=[(1, 1)], affiliations=[(5, ["A"], "X")])]
+    links = institutions.author_affiliations(publications(rows), cfg)
+    assert sorted((r.auid, r.affil_id) for r in links.collect()) == [(10, 5), (11, 5)]

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from laurel_registry import tables
+from laurel_registry import oracle, tables
+from laurel_registry import queries as registered
 from laurel_registry.compare import compare, connect
 from laurel.plans import reports
 
@@ -24,12 +25,12 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registered.queries()) == set(oracle.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_query_equals_sql(spark, duck, name):
-    problem = compare(spark, duck, SF, name, entry.queries()[name], entry.oracle_sql()[name])
+    problem = compare(spark, duck, SF, name, registered.queries()[name], oracle.oracle_sql()[name])
     assert problem == ""
 
 
@@ -73,11 +74,11 @@ def test_spreading_and_layout_do_not_change_results(spark, run, tmp_path):
     small = replace(run.cfg, hot_key_rows=40)
     pubs = run.inputs.publications.repartition(3, "year")
     moved = replace(run.inputs, publications=pubs)
-    other = type(run)(spark, moved, small, str(tmp_path))
-    assert other.hot_cited is not None and other.hot_authors is None
+    other = type(run)(spark, moved, small, str(tmp_path), "moved")
+    assert not other.hot_cited.isEmpty() and other.hot_authors.isEmpty()
     assert _no_batches(other.ranked) == _no_batches(run.ranked)
-    tiny = type(run)(spark, run.inputs, replace(run.cfg, hot_key_rows=25), str(tmp_path))
-    assert tiny.hot_authors is not None
+    tiny = type(run)(spark, run.inputs, replace(run.cfg, hot_key_rows=25), str(tmp_path), "tiny")
+    assert not tiny.hot_authors.isEmpty()
     assert _no_batches(tiny.ranked) == _no_batches(run.ranked)
     order = ["level", "subject"]
     assert sorted(map(repr, tiny.thresholds.orderBy(order).collect())) == sorted(
@@ -94,7 +95,27 @@ def test_inputs_are_unique_and_reports_are_written(run, tmp_path):
 
 
 def test_changed_discontinued_list_changes_the_stage_key(spark, run, tmp_path):
-    same = type(run)(spark, run.inputs, run.cfg, str(tmp_path))
+    same = type(run)(spark, run.inputs, run.cfg, str(tmp_path), "v")
     longer = replace(run.inputs, discontinued=spark.range(9).select(F.col("id").alias("srcid")))
-    other = type(run)(spark, longer, run.cfg, str(tmp_path))
+    other = type(run)(spark, longer, run.cfg, str(tmp_path), "v")
     assert same.store.path("edges", run.cfg) != other.store.path("edges", run.cfg)
+
+
+def test_changed_publications_change_the_stage_key(spark, run, tmp_path):
+    run.inputs.publications.write.parquet(str(tmp_path / "a"))
+    run.inputs.publications.limit(5).write.parquet(str(tmp_path / "b"))
+    keys = {
+        type(run)(
+            spark, replace(run.inputs, publications=spark.read.parquet(str(tmp_path / p))), run.cfg, "r", "v"
+        ).store.path("edges", run.cfg)
+        for p in ("a", "b")
+    }
+    assert len(keys) == 2
+    with pytest.raises(ValueError):
+        type(run)(spark, run.inputs, run.cfg, "r", "")
+
+
+def test_a_third_of_the_authors_is_dropped_before_the_heavy_work(run):
+    profiled = run.core_papers.select("auid").distinct().count()
+    assert profiled <= 2 / 3 * run.author_papers.select("auid").distinct().count()
+    assert run.distinct_citing.join(run.core_papers, "auid", "left_anti").count() == 0

@@ -6,9 +6,9 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from laurel_registry import queries as registered
 from laurel_registry import tables
-from laurel.operators import authorship, citations, institutions
+from laurel.operators import authorship, citations, institutions, profile
 from laurel.plans.run import load_inputs, run
 
 from tests.conftest import SF
@@ -26,9 +26,9 @@ def pipe(spark):
     return tables.pipeline(spark, SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_no_pairwise_joins_and_no_python_in_any_plan(spark, name):
-    plan = text(entry.queries()[name](spark, SF))
+    plan = text(registered.queries()[name](spark, SF))
     for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEval"):
         assert banned not in plan
 
@@ -60,10 +60,23 @@ def test_year_filters_reach_the_scan(pipe):
 
 
 def test_windows_and_sums_share_one_shuffle_by_author(pipe):
-    plan = text(pipe.paper_metrics)
+    plan = text(profile.paper_metrics(pipe.core_papers, pipe.cfg))
     assert len(re.findall(r"hashpartitioning\(auid", plan)) == 1
 
 
+def test_no_window_orders_everything_in_one_task(pipe):
+    for name in ("global_rank", "subfield_rank", "h_index", "distinct_citing", "thresholds_total", "ratio_distribution"):
+        plan = text(registered.PLANS[name](pipe))
+        for window in re.findall(r"Window \(\d+\)[^\n]*\n[^\n]*\n", plan):
+            assert "SinglePartition" not in window
+        assert "windowspecdefinition(1," not in plan
+
+
+def test_citing_and_positions_read_profiled_authors_only(pipe):
+    for frame in (pipe.distinct_citing, pipe.paper_metrics):
+        assert "core_papers" in text(frame)
+
+
 def test_run_from_paths(spark, pipe, tmp_path):
     folder = str(tmp_path)
     pipe.inputs.publications.withColumnRenamed("eid", "Eid").write.parquet(f"{folder}/pubs")

@@ -105,3 +105,15 @@ def test_main_subjects_without_classified_paper(author_rows, cfg):
     ranked = subjects.rank_subjects(counts, subjects.subject_volumes(counts))
     top = subjects.top_subjects(ranked).collect()[0]
     assert (top.subfield_1, top.subfield_1_frac, top.subfield_2, top.field_1) == (None,) * 4
+
+
+def test_pairs_of_one_paper_with_many_citations_and_authors_are_sliced(spark, author_rows, cfg):
+    """60 citations by 40 authors make 2,400 pairs; no slice may hold more than the limit."""
+    rows = author_rows([(100 + a, 1, 60, 40) for a in range(40)] + [(100, 2, 1, 1)])
+    edges = spark.createDataFrame(
+        [(1000 + i, 1, i % 2) for i in range(60)] + [(1000, 2, 0)], "citing_eid long, cited_eid long, is_self int"
+    )
+    run = replace(cfg, hot_key_rows=300)
+    got = as_dict(profile.distinct_citing(rows, edges, run), "auid", "ns_nc_citing", "ws_nc_citing")
+    assert got == {100 + a: (30, 60) for a in range(40)}
+    assert got == as_dict(profile.distinct_citing(rows, edges, cfg), "auid", "ns_nc_citing", "ws_nc_citing")

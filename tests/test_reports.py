@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from laurel.sources.reports import (
     typed_report,
     write_report,
 )
-from laurel.sources.stages import StageStore, shared_folder
+from laurel.sources.stages import StageStore
+from laurel_registry.scratch import scratch_folder
 
 
 def test_typed_and_printed_reports(spark):
@@ -70,8 +73,8 @@ def test_unfinished_stage_is_rebuilt(spark, tmp_path, cfg):
     assert store.get_or_build("s", cfg, lambda: spark.range(4)).count() == 4
 
 
-def test_shared_folder_follows_the_session(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_scratch_folder_follows_the_session(spark):
+    assert scratch_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
 def test_a_cluster_must_name_its_shared_folder():
@@ -85,7 +88,7 @@ def test_a_cluster_must_name_its_shared_folder():
             master = "yarn"
 
     with pytest.raises(ValueError):
-        shared_folder(Session())
+        scratch_folder(Session())
 
 
 def test_label_resolution(spark):
@@ -130,7 +133,7 @@ def test_table2_puts_total_last(spark):
         "n_top_list long",
     ).withColumns({c: F.lit(0.5) for c in cuts})
     labels = spark.createDataFrame([("D", "F", "b")], "domain string, field string, subfield string")
-    rows = reports.table2_subfield(frame, labels).collect()
+    rows = reports.table2_subfield(frame, labels, MetricConfig(("X",))).collect()
     assert [r.Subfield for r in rows] == ["b", "Unassigned", "TOTAL"]
     assert rows[0]["% in 100k (ns)"] == "10.0%"
     assert rows[0]["top-list self%@95"] == "50.0 %"
@@ -149,3 +152,11 @@ def test_ratio_distribution_ignores_missing_ratios(spark, cfg):
     })
     got = reports.ratio_distribution(frame, cfg, "x").collect()
     assert sorted((r.author_id, r.ratio_position) for r in got) == [(1, 0.25), (2, 0.5), (3, 0.5)]
+    everywhere = reports.ratio_distribution(frame, replace(cfg, hot_key_rows=16)).collect()
+    assert sorted((r.author_id, r.ratio_position) for r in everywhere) == [
+        (1, 0.25), (2, 0.5), (3, 0.5), (6, 1.0)
+    ]
+
+
+def test_labels_follow_the_cutoffs(spark):
+    assert [reports.short_count(n) for n in (100_000, 2_000_000, 150, 0)] == ["100k", "2m", "150", "0"]
