@@ -22,20 +22,23 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(own).filter("a != b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    hangs = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    holds = edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    nodes = hangs.unionByName(holds).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each node of the links (a, b); the component is its least node.
 
-    Every round is written to the shared checkpoint folder. The rounds end when the links
-    no longer change; then each is a star around its least node.
+    Every round is written to the shared checkpoint folder. The rounds end when each
+    component is a star around its least node: no node then hangs on two others, or on one
+    while others hang on it.
     """
-    edges = settled(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = settled(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
                     .filter("a != b").distinct())
-    mark = None
-    while True:
+    while not _are_stars(edges):
         edges = settled(_stars(_stars(edges, large=True), large=False))
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
-            break
-        mark = now
     nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -9,10 +9,11 @@ of 0.8 and 16 chunks the chance that a linked pair differs in more symbols is be
 Candidate pairs are confirmed on the full sets.
 
 Documents with equal sets count as one. Within a key not all pairs are made: first every
-member meets the member that shares most keys with others, which joins most groups. Then
-only pairs that are still in different components are compared, by their signatures, in
-blocks of bounded size; those within the distance are confirmed too. No pair that shares a
-key and is not yet connected is left out.
+member meets the key's centre, the member that shares most keys with others, which joins
+most groups. Then the members of a centre that are not yet in its component are compared
+with all its members, on the full sets, in pairs of blocks of bounded size. A block gives
+only as many links as join its components, so the links grow with the documents. No pair
+that shares a key and is not connected already is left out.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from laurel.llm.tables import settled, text_of
 
 SYMBOLS = 4
 HOT_LIMIT = 10_000
-BLOCK = 2_000
+BLOCK = 400_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -144,28 +145,75 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def _apart(radius: int, percent: int):
-    """Pairs of one pair of blocks that are in different components and within the radius."""
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sets x shares with each of the sets y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    vx, vy = np.concatenate(x), np.concatenate(y)
+    rx, ry = np.repeat(np.arange(len(x)), list(map(len, x))), np.repeat(np.arange(len(y)), list(map(len, y)))
+    common = np.intersect1d(vx, vy)
+    if not len(common):
+        return out
+
+    def placed(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        keep = common[at] == values
+        at, rows = at[keep], rows[keep]
+        order = np.argsort(at, kind="stable")
+        return at[order], rows[order], np.bincount(at, minlength=len(common))
+
+    (ax, rx, nx), (ay, ry, ny) = placed(vx, rx), placed(vy, ry)
+    often = nx * ny > 64
+    begin_x, begin_y = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+    rare = np.flatnonzero(~often)
+    pairs = nx[rare] * ny[rare]
+    k = np.repeat(rare, pairs)
+    place = np.arange(len(k)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+    np.add.at(out, (rx[begin_x[k] + place // ny[k]], ry[begin_y[k] + place % ny[k]]), 1)
+    column = np.cumsum(often) - 1
+    ux, uy = often[ax], often[ay]
+    cx, cy, rx, ry = column[ax[ux]], column[ay[uy]], rx[ux], ry[uy]
+    for lo in range(0, int(often.sum()), 2048):  # values that many sets hold: as a product of 0-1 matrices
+        parts = []
+        for c, r, n in ((cx, rx, len(x)), (cy, ry, len(y))):
+            some = slice(*np.searchsorted(c, [lo, lo + 2048]))
+            part = np.zeros((n, 2048), np.float32)
+            part[r[some], c[some] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _joined(percent: int):
+    """Links that connect components within one pair of blocks: a forest of them, not all."""
 
     def run(table: pa.Table) -> pa.Table:
         left = table.column("left").to_numpy(zero_copy_only=False)
-        ids, label, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
-        signature = arrays.flat(table.column("signature"))[0].view(np.uint16).reshape(len(ids), -1)
+        ids, label = table.column("a").to_numpy(), table.column("ca").to_numpy()
+        sets = [np.frombuffer(b.as_py(), "<u8") for b in table.column("shingles")]
         x, y = np.flatnonzero(left), np.flatnonzero(~left)
-        if not len(y):
-            y = x
-        out = []
-        one = label[y[0]] if (label[y] == label[y[0]]).all() else None
-        for i in x.tolist():
-            if label[i] == one:
-                continue
-            far = y[label[y] != label[i]]
-            ratio = (100 * np.minimum(n[far], n[i]) >= percent * np.maximum(n[far], n[i]))
-            far = far[ratio]
-            far = far[(signature[far] != signature[i]).sum(axis=1) <= radius]
-            out.append(np.stack([np.minimum(ids[far], ids[i]), np.maximum(ids[far], ids[i])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
+        out: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            both = shared_counts([sets[i] for i in x], [sets[i] for i in y]).astype(np.float64)
+            size = np.array([len(s) for s in sets], np.float64)
+            alike = (100 * both >= percent * (size[x][:, None] + size[y] - both)) & (both > 0)
+            i, j = np.nonzero(alike & (label[x][:, None] != label[y]))
+            pair = np.stack([label[x[i]], label[y[j]]], axis=1)
+            _, first = np.unique(pair, axis=0, return_index=True)
+            above: dict[int, int] = {}
+
+            def top(k: int) -> int:
+                while above.setdefault(k, k) != k:
+                    above[k] = above[above[k]]
+                    k = above[k]
+                return k
+
+            for f in first.tolist():
+                p, q = top(int(pair[f, 0])), top(int(pair[f, 1]))
+                if p != q:
+                    above[p] = q
+                    out.append((int(ids[x[i[f]]]), int(ids[y[j[f]]])))
+        columns = list(zip(*out)) if out else [[], []]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
 
     return run
 
@@ -191,7 +239,7 @@ def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, chunks: i
     sets = settled(texts.join(wanted.select("id"), "id", "left_semi").mapInArrow(_sets(size), "id long, shingles binary"))
 
     meets = spread_join(shared, _centres(shared, wanted), ["key"], hot, "id")
-    pairs = meets.filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    pairs = settled(meets.filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
     side = signed.select("id", "n", "signature")
     hub = hot_keys(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("m")), ["b"], "m", hot_limit)
     seen = pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa")), "a")
@@ -201,19 +249,41 @@ def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, chunks: i
     near = settled(seen.mapInArrow(lambda batches: _near(batches, radius), "a long, b long"))
     first = settled(_confirmed(near, sets, percent, hot_limit))
 
-    label = components(first)
-    parts = shared.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = parts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-    parts = spread_join(parts, mixed.select("key"), ["key"], hot, "id").join(side, "id")
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    parts = parts.withColumn("own", own).withColumn("other", other)
-    parts = parts.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                         (F.col("own") <= F.col("other")).alias("left"), "id", "component", "n", "signature")
-    apart = parts.groupBy("key", "i", "j").applyInArrow(_apart(radius, percent), "a long, b long").distinct()
-    second = _confirmed(settled(apart), sets, percent, hot_limit)
-    return first.unionByName(second)
+    label = settled(components(first))
+    stars = label.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return stars.unionByName(_rest(pairs, label, sets, percent, hub, block))
+
+
+def _rest(pairs: DataFrame, label: DataFrame, sets: DataFrame, percent: int, hub: DataFrame, block: int) -> DataFrame:
+    """Links between members of one centre that its star has left in different components.
+
+    Two documents that share a key are members of the key's centre, b. Those that are not
+    in the centre's component are compared with all of its members, in blocks of about
+    `block` shingles a side.
+    """
+    own = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    centre = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    members = pairs.unionByName(pairs.select(F.col("b").alias("a"), "b").distinct())
+    members = members.join(own, "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+    members = members.join(sets.select(F.col("id").alias("a"), (F.octet_length("shingles") / 8).alias("n")), "a")
+    known = members.select("b").distinct().join(centre, "b", "left").withColumn("cb", F.coalesce("cb", "b"))
+    members = settled(spread_join(members, known, ["b"], hub, "a"))
+    apart = F.col("ca") != F.col("cb")
+    blocks = members.groupBy("b").agg(
+        F.ceil(F.sum(F.when(apart, F.col("n"))) / block).cast("int").alias("rows"),
+        F.ceil(F.sum("n") / block).cast("int").alias("columns")).filter("rows > 0")
+    members = spread_join(members, blocks, ["b"], hub, "a")
+
+    def of(column: str):
+        return F.pmod(F.xxhash64("a"), F.col(column)).cast("int")
+
+    def every(column: str):
+        return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+
+    left = members.filter(apart).select("b", of("rows").alias("i"), every("columns").alias("j"), F.lit(True).alias("left"), "a", "ca")
+    right = members.select("b", every("rows").alias("i"), of("columns").alias("j"), F.lit(False).alias("left"), "a", "ca")
+    parts = left.unionByName(right).join(sets.withColumnRenamed("id", "a"), "a")
+    return parts.groupBy("b", "i", "j").applyInArrow(_joined(percent), "a long, b long").distinct()
 
 
 def _centres(shared: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ def check(df, rows, plainly, size, **options):
 
 
 def test_odd_rows(odd, odd_rows, plainly):
-    check(odd, odd_rows, plainly, 2, hot_limit=2, block=2)
+    check(odd, odd_rows, plainly, 2, hot_limit=2, block=2_000)
 
 
 def test_empty_table(empty):
@@ -38,7 +38,7 @@ def test_chains_and_hubs_with_one_hot_key(spark, plainly):
         w[k * 8:k * 8 + 4] = [f"d{k}_{j}" for j in range(4)]
         rows.append((900 - k, " ".join(w), None, None, None))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    check(df, rows, plainly, 2, hot_limit=5, block=8)
+    check(df, rows, plainly, 2, hot_limit=5, block=1_500)
 
 
 def test_keys_find_all_pairs_within_the_radius():
@@ -57,3 +57,16 @@ def test_components_of_a_long_path(spark):
     found = dict(map(tuple, components(edges).collect()))
     assert {k: v for k, v in found.items() if k < 100} == {i: 0 for i in range(61)}
     assert {found[k] for k in (100, 150, 200)} == {100}
+
+
+def test_shared_counts_against_sets():
+    random = np.random.default_rng(8)
+    base = random.integers(0, 2**62, 300).astype(np.uint64)
+
+    def some(n):
+        return [np.unique(np.concatenate([random.choice(base, random.integers(0, 200)), random.integers(0, 2**62, 9).astype(np.uint64)]))
+                for _ in range(n)]
+
+    x, y = some(20), some(15)
+    expected = [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
+    assert near_dedup.shared_counts(x, y).tolist() == expected
