@@ -166,9 +166,11 @@ def screened(docs: DataFrame, share: float = 0.75, steps: int = 2, cutoff: float
     rows = rows.withColumns({
         "g0": F.coalesce(F.col("lang").cast("string"), F.lit("")), "g1": F.coalesce(F.col("source").cast("string"), F.lit("")),
         "g2": F.lit(0), **dict(zip(STATISTICS, vector()))})
-    good = rows.filter(~F.col("base_failed"))
-    own = estimates(good, ["g0", "g1"], share, steps).filter(F.col("n") >= int(least_rows * share))
-    whole = estimates(good, ["g2"], share, steps).first()
+    both = F.explode(F.array(F.struct("g0", "g1", "g2"), F.struct(F.lit("").alias("g0"), F.lit("").alias("g1"), F.lit(1).alias("g2"))))
+    good = rows.filter(~F.col("base_failed")).select(both.alias("g"), *STATISTICS).select("g.*", *STATISTICS)
+    found = estimates(good, ["g0", "g1", "g2"], share, steps)
+    own = found.filter((F.col("g2") == 0) & (F.col("n") >= int(least_rows * share)))
+    whole = found.filter("g2 = 1").first()
     parts = [f"m{i}" for i in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
     joined = rows.join(own.select("g0", "g1", *parts), ["g0", "g1"], "left")
     if whole is not None:
