@@ -16,8 +16,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laurel.functions.spread import hot_keys, spread_join
 from laurel.llm.tables import id_of, settled
 
+#: A group with more rows than this is dealt over several tasks.
+HOT_LIMIT = 5_000
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 STATISTICS = ("v0", "v1", "v2", "v3")
@@ -131,6 +134,8 @@ def estimates(rows: DataFrame, by: list[str], share: float, steps: int) -> DataF
     rounds of distances and estimates from the closest `share`.
     """
     p = range(len(STATISTICS))
+    if "spread" not in rows.columns:
+        rows = rows.withColumn("spread", F.xxhash64(*STATISTICS))
     middle = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
         F.percentile_approx(STATISTICS[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in p])
     zero = F.lit(0.0)
@@ -139,15 +144,17 @@ def estimates(rows: DataFrame, by: list[str], share: float, steps: int) -> DataF
         *[(F.sqrt(F.pow((F.get(f"q{i}", 2) - F.get(f"q{i}", 0)) / 1.349, 2) + NARROWEST[i] ** 2) if i == j else zero)
           .alias(f"l{i}{j}") for i in p for j in range(i + 1)])
     for _ in range(steps):
-        far = _with(rows, now, by).select(*by, *STATISTICS, _distance().alias("d"))
-        limit = far.groupBy(*by).agg(F.percentile_approx("d", share, 1000).alias("limit"))
+        far = _with(rows, now, by).select(*by, *STATISTICS, _distance().alias("d"), "spread")
+        limit = far.groupBy(*by).agg(
+            F.percentile_approx("d", share, 1000).alias("limit"), F.count(F.lit(1)).alias("n"))
         near = _with(far, limit, by).filter("d <= limit")
         now = settled(_factored(_moments(near, by), consistency(share)))
     return now
 
 
-def _with(rows: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
-    return rows.join(found, by)
+def _with(rows: DataFrame, found: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Each row with what was found for its group; groups of many rows are dealt out by `spread`."""
+    return spread_join(rows, found, by, hot_keys(found, by, "n", HOT_LIMIT), "spread", how)
 
 
 def screened(docs: DataFrame, share: float = 0.75, steps: int = 2, cutoff: float = 23.5,
@@ -165,14 +172,14 @@ def screened(docs: DataFrame, share: float = 0.75, steps: int = 2, cutoff: float
     names = rows.columns
     rows = rows.withColumns({
         "g0": F.coalesce(F.col("lang").cast("string"), F.lit("")), "g1": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "g2": F.lit(0), **dict(zip(STATISTICS, vector()))})
+        "g2": F.lit(0), "spread": F.xxhash64("doc_id", *names), **dict(zip(STATISTICS, vector()))})
     both = F.explode(F.array(F.struct("g0", "g1", "g2"), F.struct(F.lit("").alias("g0"), F.lit("").alias("g1"), F.lit(1).alias("g2"))))
-    good = rows.filter(~F.col("base_failed")).select(both.alias("g"), *STATISTICS).select("g.*", *STATISTICS)
+    good = rows.filter(~F.col("base_failed")).select(both.alias("g"), *STATISTICS, "spread").select("g.*", *STATISTICS, "spread")
     found = estimates(good, ["g0", "g1", "g2"], share, steps)
     own = found.filter((F.col("g2") == 0) & (F.col("n") >= int(least_rows * share)))
     whole = found.filter("g2 = 1").first()
     parts = [f"m{i}" for i in range(4)] + [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
-    joined = rows.join(own.select("g0", "g1", *parts), ["g0", "g1"], "left")
+    joined = _with(rows, own.select("g0", "g1", F.col("n"), *parts), ["g0", "g1"], "left")
     if whole is not None:
         joined = joined.withColumns({c: F.coalesce(c, F.lit(whole[c])) for c in parts})
     out = joined.select(*names, _distance().alias("distance"))
