@@ -1,8 +1,8 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks at block-level tags. The first pass decides from where a block
-stands (menus, page headers and footers, sidebars, notices, adverts, forms and reader
-comments are boilerplate; what else an article element holds is text) and, outside of
+stands (menus, page headers and footers, asides and forms are boilerplate, and what class, id
+or role name that, unless it holds the page's text; what else an article element holds is text) and, outside of
 articles, from its length, link density and stop-word density. Short blocks and middling
 ones stay open; in the second pass they take the label of their nearest decided neighbours.
 """
@@ -36,6 +36,10 @@ NAMES = frozenset(
     "menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup "
     "promo promotion recommended related replies respond search share sharing sidebar signup skip social sponsor "
     "sponsored subscribe subscription tags toc toolbar warning widget complementary replylist discussion responses".split())
+# Those of them that name reader comments, which can be longer than the page's own text, and
+# first words of a class that tells how a wrapper is laid out.
+TALK = frozenset("comment comments commentlist discussion disqus replies replylist respond responses".split())
+LAYOUT = frozenset("has layout no non not with without".split())
 # Frequent words of the languages that pages are expected in.
 STOP = frozenset(
     "a an and are as at be by for from has he in is it its of on or that the this to was were will with "
@@ -54,28 +58,83 @@ CAMEL = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "inside", "away", "heading", "text", "label")
+    __slots__ = ("parts", "linked", "inside", "away", "heading", "text", "label", "named", "against")
 
-    def __init__(self, inside: bool, away: bool, heading: bool):
+    def __init__(self, inside: int, away: bool, heading: bool, named: int):
         self.parts: list[str] = []
         self.linked = 0
-        self.inside, self.away, self.heading = inside, away, heading
-        self.text, self.label = "", ""
+        self.inside, self.away, self.heading, self.named = inside, away, heading, named
+        self.text, self.label, self.against = "", "", False
 
 
-def named_away(attributes: str) -> bool:
-    """Whether class, id or role name boilerplate, or the element is concealed."""
+class Named:
+    """An element whose class, id or role has a word of NAMES."""
+
+    __slots__ = ("above", "vote", "talk", "article", "own", "held", "against", "away")
+
+    def __init__(self, above: int, vote: int, talk: bool):
+        self.above, self.vote, self.talk = above, vote, talk
+        self.article = self.against = self.away = False
+        self.own = self.held = 0
+
+
+class Page(list):
+    """The blocks of a page; for each article or main element, from 1, the one around it or 0."""
+
+    above: list[int]
+
+
+def named(attributes: str) -> tuple[int, bool]:
+    """How far class, id or role name boilerplate, and whether as reader comments: 2 by a whole name, 1 by a part of one."""
+    vote, talk = 0, False
     for m in NAMED.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        if any(w.lower() in NAMES for w in CAMEL.split(value)):
-            return True
-    return bool(CONCEALED.search(attributes))
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [w.lower() for w in CAMEL.split(name) if w]
+            if parts and parts[0] not in LAYOUT and not NAMES.isdisjoint(parts):
+                vote = max(vote, 2 if len(parts) == 1 else 1)
+                talk = talk or not TALK.isdisjoint(parts)
+    return vote, talk
+
+
+def weigh_names(found: list[Block], names: list[Named], short: int = 70, long: int = 200, links: float = 0.5) -> None:
+    """Settles what the names of elements mean for the blocks inside.
+
+    A name is no reason against an element that holds most of the page's text outside of
+    links, or the article; reader comments count as that only where there is next to nothing
+    else. Otherwise a whole name, and any name of comments, takes the element away, unless it
+    holds an article; then, as for a part of a name, it is a vote against its blocks.
+    """
+    free = total = 0
+    for b in found:
+        if not b.away and b.linked <= links * len(b.text):
+            total += len(b.text)
+            if b.named:
+                names[b.named].own += len(b.text)
+            else:
+                free += len(b.text)
+    for e in reversed(names[1:]):
+        e.held += e.own
+        names[e.above].held += e.held
+        names[e.above].article |= e.article
+    for e in names[1:]:
+        over = names[e.above]
+        most = e.held > free and (e.article or e.held >= long and 2 * e.held > total) and not (e.talk and free >= short)
+        e.away = over.away or not most and (e.talk or e.vote == 2 and not e.article)
+        e.against = over.against or not most
+        if not e.against:
+            free += e.own
+    for b in found:
+        if b.named:
+            b.away = b.away or names[b.named].away
+            b.against = names[b.named].against
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str) -> Page:
     """The blocks of a page that hold text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, article
+    stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, article, named element
+    articles = [0]
+    names = [Named(0, 0, False)]
     links = 0
     current: Block | None = None
     at = 0
@@ -88,8 +147,8 @@ def blocks(page: str) -> list[Block]:
             if raw.isspace():
                 return
             away = bool(stack) and stack[-1][1]
-            inside = bool(stack) and stack[-1][2]
-            current = Block(inside, away, any(t in HEADINGS for t, _, _ in stack[-3:]))
+            inside, name = stack[-1][2:] if stack else (0, 0)
+            current = Block(inside, away, any(s[0] in HEADINGS for s in stack[-3:]), name)
             out.append(current)
         text = html.unescape(raw) if "&" in raw else raw
         current.parts.append(text)
@@ -100,7 +159,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                links -= sum(t == "a" for t, _, _ in stack[i:])
+                links -= sum(s[0] == "a" for s in stack[i:])
                 del stack[i:]
                 return
             if tag not in BLOCK and stack[i][0] in BLOCK:
@@ -144,25 +203,37 @@ def blocks(page: str) -> list[Block]:
             # an open paragraph ends here, and with it what was left open inside
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    links -= sum(t == "a" for t, _, _ in stack[i:])
+                    links -= sum(s[0] == "a" for s in stack[i:])
                     del stack[i:]
                     break
                 if stack[i][0] in BLOCK:
                     break
         if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
             stack.pop()
-        above = stack[-1] if stack else ("", False, False)
-        inside = above[2] or tag in ("article", "main")
-        away = (above[1] or tag in BOILERPLATE or tag in NO_TEXT or tag == "header" and not inside
-                or tag not in ("html", "body", "article", "main") and tag not in HEADINGS and named_away(m[3]))
-        stack.append((tag, away, inside))
+        above = stack[-1] if stack else ("", False, 0, 0)
+        inside, name = above[2:]
+        if tag in ("article", "main"):
+            articles.append(inside)
+            inside = len(articles) - 1
+            names[name].article = True
+        away = above[1] or tag in BOILERPLATE or tag in NO_TEXT or tag == "header" and not inside
+        if tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
+            away = away or bool(CONCEALED.search(m[3]))
+            vote, talk = named(m[3])
+            if vote:
+                names.append(Named(name, vote, talk))
+                name = len(names) - 1
+        stack.append((tag, away, inside, name))
         links += tag == "a"
     for b in out:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
-    return [b for b in out if b.text]
+    full = Page(b for b in out if b.text)
+    full.above = articles
+    weigh_names(full, names)
+    return full
 
 
-def decide(found: list[Block], short: int = 70, long: int = 200, links: float = 0.5, low: float = 0.15,
+def decide(found: Page, short: int = 70, long: int = 200, links: float = 0.5, low: float = 0.15,
            high: float = 0.3) -> None:
     """Labels each block text or none, in two passes."""
     article = any(b.inside and not b.away for b in found)
@@ -170,7 +241,7 @@ def decide(found: list[Block], short: int = 70, long: int = 200, links: float =
         size = len(b.text)
         words = WORD.findall(b.text.lower())
         density = sum(w in STOP for w in words) / max(1, len(words))
-        if b.away:
+        if b.away or b.against and len(b.text) < long:
             b.label = "none"
         elif article:
             b.label = "text" if b.inside else "none"

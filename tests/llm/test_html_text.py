@@ -48,3 +48,23 @@ def test_registered_query(spark):
     rows = op4_html_text(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert not any("track(" in r["text"] or "©" in r["text"] for r in rows)
+
+
+PROSE = "It is said that the house on the hill was built by the man who has it, and that he will be in it for the year. "
+
+
+@pytest.mark.parametrize("wrapper", [
+    'class="content has-sidebar"', 'class="no-sidebar"', 'class="with-header"', 'id="search-results"', 'class="layout-sidebar-right"',
+    'class="overflow-hidden"', 'class=widget', 'class="page header"'])
+def test_a_name_drops_no_element_that_holds_the_text(wrapper):
+    side = f'<div class="sidebar"><p>{PROSE}</p></div><div class="comment-list"><p>{PROSE}</p></div>'
+    for inner in (f"<article><h1>On the hill</h1><p>{PROSE * 3}</p></article>", f"<h1>On the hill</h1><p>{PROSE * 3}</p>"):
+        page = f"<body><nav>menu</nav><div {wrapper}>{inner}</div>{side}</body>"
+        assert html_text.main_text(page) == "On the hill\n\n" + (PROSE * 3).strip()
+
+
+def test_named_elements_beside_the_text_still_go():
+    cards = '<div class="related"><article><a href=1>More</a></article><article><a href=2>Other</a></article></div>'
+    talk = f'<section class="comments"><article><p>{PROSE * 9}</p></article></section>'
+    page = f'<article><p>{PROSE * 3}</p><div id="cookie-notice"><p>We use cookies.</p></div>{cards}{talk}</article>'
+    assert html_text.main_text(page) == (PROSE * 3).strip()
