@@ -1,10 +1,11 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks at block-level tags. The first pass decides from where a block
-stands (menus, page headers and footers, asides and forms are boilerplate, and what class, id
-or role name that, unless it holds the page's text; what else an article element holds is text) and, outside of
-articles, from its length, link density and stop-word density. Short blocks and middling
-ones stay open; in the second pass they take the label of their nearest decided neighbours.
+stands (menus, page headers and footers, asides and forms are boilerplate, and so is what
+class, id or role name that, unless it holds the page's text) and from its length, link
+density and stop-word density; an article element that holds much of the page's text is a
+prior for these. Short blocks and middling ones stay open; in the second pass they take the
+label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -235,32 +236,64 @@ def blocks(page: str) -> Page:
 
 def decide(found: Page, short: int = 70, long: int = 200, links: float = 0.5, low: float = 0.15,
            high: float = 0.3) -> None:
-    """Labels each block text or none, in two passes."""
-    article = any(b.inside and not b.away for b in found)
+    """Labels each block text or none, in two passes.
+
+    An article or main element that holds at least half as much as what is largest on the
+    page is a prior: inside of it blocks are text at a lower density, and short ones if no
+    decided neighbour speaks against it; outside of it only long and dense ones are.
+    """
+    above = found.above
+    density, linked = [], []
+    own, top = [0] * len(above), list(range(len(above)))
     for b in found:
-        size = len(b.text)
         words = WORD.findall(b.text.lower())
-        density = sum(w in STOP for w in words) / max(1, len(words))
-        if b.away or b.against and len(b.text) < long:
-            b.label = "none"
-        elif article:
-            b.label = "text" if b.inside else "none"
-        elif b.linked > links * size:
+        density.append(sum(w in STOP for w in words) / max(1, len(words)))
+        linked.append(b.linked > links * len(b.text))
+        if not b.away and not linked[-1] and (b.inside or density[-1] >= low and len(b.text) >= short):
+            own[b.inside] += len(b.text)
+    held = list(own)
+    for c in range(len(above) - 1, 0, -1):
+        held[above[c]] += held[c] if above[c] else 0
+    for c in range(1, len(above)):
+        top[c] = top[above[c]] or c
+    prior = [c > 0 and 2 * held[c] >= max(own) > 0 for c in range(len(above))]
+    some = any(prior)
+    for i, b in enumerate(found):
+        size, dense = len(b.text), density[i]
+        if b.away or linked[i]:
             b.label = "none"
+        elif b.against or some and not b.inside:
+            b.label = "text" if dense >= high and size >= long else "none" if b.against and not b.heading else "short"
         elif size < short:
             b.label = "short"
-        elif density >= high or density >= low and size >= long:
+        elif prior[b.inside]:
+            b.label = "text" if dense >= low or size >= long else "open"
+        elif dense >= high or dense >= low and size >= long:
             b.label = "text"
         else:
-            b.label = "open" if density >= low else "none"
+            b.label = "open" if dense >= low else "none"
     first = [b.label for b in found]
+    behind, ahead = _nearest(found, first, top), _nearest(found[::-1], first[::-1], top)[::-1]
     for i, b in enumerate(found):
         if first[i] not in ("short", "open"):
             continue
-        before = next((first[j] for j in range(i - 1, -1, -1) if first[j] in ("text", "none")), "none")
-        after = next((first[j] for j in range(i + 1, len(found)) if first[j] in ("text", "none")), "none")
-        near = before if before == after else "text" if first[i] == "open" or b.heading and after == "text" else "none"
-        b.label = near
+        if prior[b.inside] and not b.against:
+            b.label = "none" if behind[i][1] == ahead[i][1] == "none" else "text"
+            continue
+        before, after = behind[i][0], ahead[i][0]
+        b.label = before if before == after else "text" if first[i] == "open" or b.heading and after == "text" else "none"
+
+
+def _nearest(found: list[Block], first: list[str], top: list[int]) -> list[tuple[str, str]]:
+    """For each block the label of the nearest decided one before it: on the page, and in its outermost article."""
+    page, of, out = "none", {}, []
+    for b, label in zip(found, first):
+        out.append((page, of.get(top[b.inside], "text")))
+        if label in ("text", "none"):
+            page = label
+            if not b.away:
+                of[top[b.inside]] = label
+    return out
 
 
 def main_text(page: str | None) -> str:

@@ -68,3 +68,21 @@ def test_named_elements_beside_the_text_still_go():
     talk = f'<section class="comments"><article><p>{PROSE * 9}</p></article></section>'
     page = f'<article><p>{PROSE * 3}</p><div id="cookie-notice"><p>We use cookies.</p></div>{cards}{talk}</article>'
     assert html_text.main_text(page) == (PROSE * 3).strip()
+
+
+def test_text_in_a_div_beside_teasers_that_are_articles():
+    teasers = "".join(f"<article><h3><a href={i}>Teaser {i}</a></h3><p>It is of the day.</p></article>" for i in range(5))
+    page = f"<body><div><h1>On the hill</h1><p>{PROSE * 4}</p><p>Short one.</p><p>{PROSE * 3}</p></div><div>{teasers}</div></body>"
+    assert html_text.main_text(page).split("\n\n") == ["On the hill", (PROSE * 4).strip(), "Short one.", (PROSE * 3).strip()]
+
+
+def test_link_lists_in_an_article_go_and_its_other_blocks_stay():
+    links = "<ul><li><a href=1>The first of them</a></li><li>More</li><li><a href=2>The second of them</a></li></ul>"
+    page = f"<article><h1>T</h1><p>{PROSE * 2}</p>{links}<p>Числа и слова, {'и слова ' * 30}.</p><p>End.</p></article><p>Contact</p>"
+    found = html_text.main_text(page).split("\n\n")
+    assert found == ["T", (PROSE * 2).strip(), f"Числа и слова, {'и слова ' * 30}.", "End."]
+
+
+def test_a_long_text_outside_of_the_article_is_judged_too():
+    page = f"<body><article><p>{PROSE * 3}</p></article><div><p>{PROSE * 3}And more.</p></div><div>Contact us</div></body>"
+    assert html_text.main_text(page) == (PROSE * 3).strip() + "\n\n" + PROSE * 3 + "And more."
