@@ -33,7 +33,9 @@ from laurel.llm.tables import settled, text_of
 
 SYMBOLS = 4
 HOT_LIMIT = 10_000
+#: So many shingles and so many documents, about, has each side of a block: what it counts takes a value for each pair.
 BLOCK = 400_000
+WIDE = 2_000
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -227,7 +229,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot_limit: int)
 
 
 def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, chunks: int, hot_limit: int = HOT_LIMIT,
-          block: int = BLOCK) -> DataFrame:
+          block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """Enough confirmed links (a, b) among representatives to connect what is similar."""
     radius = 2 * chunks - 1
     keys = signed.select("id", "signature").mapInArrow(_keys(chunks), "key long, id long")
@@ -251,15 +253,15 @@ def links(signed: DataFrame, docs: DataFrame, size: int, percent: int, chunks: i
 
     label = settled(components(first))
     stars = label.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return stars.unionByName(_rest(pairs, label, sets, percent, hub, block))
+    return stars.unionByName(_rest(pairs, label, sets, percent, hub, block, wide))
 
 
-def _rest(pairs: DataFrame, label: DataFrame, sets: DataFrame, percent: int, hub: DataFrame, block: int) -> DataFrame:
+def _rest(pairs: DataFrame, label: DataFrame, sets: DataFrame, percent: int, hub: DataFrame, block: int, wide: int) -> DataFrame:
     """Links between members of one centre that its star has left in different components.
 
     Two documents that share a key are members of the key's centre, b. Those that are not
     in the centre's component are compared with all of its members, in blocks of about
-    `block` shingles a side.
+    `block` shingles a side and of about `wide` documents.
     """
     own = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     centre = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
@@ -268,10 +270,18 @@ def _rest(pairs: DataFrame, label: DataFrame, sets: DataFrame, percent: int, hub
     members = members.join(sets.select(F.col("id").alias("a"), (F.octet_length("shingles") / 8).alias("n")), "a")
     known = members.select("b").distinct().join(centre, "b", "left").withColumn("cb", F.coalesce("cb", "b"))
     members = settled(spread_join(members, known, ["b"], hub, "a"))
+    parts = _dealt(members, hub, block, wide).join(sets.withColumnRenamed("id", "a"), "a")
+    return parts.groupBy("b", "i", "j").applyInArrow(_joined(percent), "a long, b long").distinct()
+
+
+def _dealt(members: DataFrame, hub: DataFrame, block: int, wide: int) -> DataFrame:
+    """Both sides of all pairs of blocks: (b, i, j, left, a, ca) of the members (a, b, ca, cb, n)."""
     apart = F.col("ca") != F.col("cb")
-    blocks = members.groupBy("b").agg(
-        F.ceil(F.sum(F.when(apart, F.col("n"))) / block).cast("int").alias("rows"),
-        F.ceil(F.sum("n") / block).cast("int").alias("columns")).filter("rows > 0")
+
+    def count(some):
+        return F.ceil(F.greatest(F.sum(F.when(some, F.col("n"))) / block, F.count(F.when(some, F.lit(1))) / wide)).cast("int")
+
+    blocks = members.groupBy("b").agg(count(apart).alias("rows"), count(F.lit(True)).alias("columns")).filter("rows > 0")
     members = spread_join(members, blocks, ["b"], hub, "a")
 
     def of(column: str):
@@ -282,8 +292,7 @@ def _rest(pairs: DataFrame, label: DataFrame, sets: DataFrame, percent: int, hub
 
     left = members.filter(apart).select("b", of("rows").alias("i"), every("columns").alias("j"), F.lit(True).alias("left"), "a", "ca")
     right = members.select("b", every("rows").alias("i"), of("columns").alias("j"), F.lit(False).alias("left"), "a", "ca")
-    parts = left.unionByName(right).join(sets.withColumnRenamed("id", "a"), "a")
-    return parts.groupBy("b", "i", "j").applyInArrow(_joined(percent), "a long, b long").distinct()
+    return left.unionByName(right)
 
 
 def _centres(shared: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -292,7 +301,7 @@ def _centres(shared: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 16, hot_limit: int = HOT_LIMIT,
-            block: int = BLOCK) -> DataFrame:
+            block: int = BLOCK, wide: int = WIDE) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * shared >= percent * all shingles of `size` lower-case
@@ -309,7 +318,7 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = 16,
     times = named.groupBy("same").agg(F.count(F.lit(1)).alias("m"))
     member = spread_join(named.select("same", F.col("id").alias("doc")), classes.select("same", "id"), ["same"],
                          hot_keys(times, ["same"], "m", hot_limit), "doc")
-    found = links(classes, docs, size, percent, chunks, hot_limit, block)
+    found = links(classes, docs, size, percent, chunks, hot_limit, block, wide)
     equal = member.filter("doc != id").select(F.col("doc").alias("a"), F.col("id").alias("b"))
     label = components(found.unionByName(equal))
     out = rows.select("id", "n").join(label, "id", "left")

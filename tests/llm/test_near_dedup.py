@@ -70,3 +70,24 @@ def test_shared_counts_against_sets():
     x, y = some(20), some(15)
     expected = [[len(set(a.tolist()) & set(b.tolist())) for b in y] for a in x]
     assert near_dedup.shared_counts(x, y).tolist() == expected
+
+
+def test_blocks_are_bounded_in_documents(spark):
+    """Thousands of texts of two shingles in one centre: no side of a block has many more than `wide`."""
+    from pyspark.sql import functions as F
+
+    from laurel.functions.spread import hot_keys
+
+    members = spark.range(1, 6_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("id").alias("ca"),
+                                           F.lit(0).cast("long").alias("cb"), F.lit(2.0).alias("n"))
+    hub = hot_keys(members.groupBy("b").agg(F.count(F.lit(1)).alias("m")), ["b"], "m", 1_000)
+    dealt = near_dedup._dealt(members, hub, near_dedup.BLOCK, 500)
+    sides = dealt.groupBy("i", "j", "left").count().collect()
+    assert len(sides) == 2 * 12 * 12 and max(r["count"] for r in sides) < 750
+
+
+def test_many_short_texts_in_narrow_blocks(spark, plainly):
+    rows = [(k, " ".join(["hello", "big", "old", "world", "of", "men", "and", f"x{k % 90}", "and", f"y{k % 70}"][:10 - k % 3]), None, None, None)
+            for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    check(df, rows, plainly, 2, hot_limit=50, wide=7)
