@@ -11,12 +11,17 @@ radius // blocks bits, so a table of each block with all those errors made, for
 finds every pair within the radius. What is within it is compared exactly: the weighted
 similarity of shingles of five words, weighted by how often each occurs. Items too short
 for windows are found by equal words.
+
+A place that the end of the document cuts off holds only a part of the item, and a document
+shorter than the item is such a part as a whole. For these, each item has its rarest
+shingles, so many that what is similar enough holds one of them; the ends of documents with
+one of an item's are compared exactly with it.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -131,9 +136,27 @@ class Benchmark:
     length: list[int]
     sizes: list[Index]
     exact: dict[int, dict[int, list[int]]]  # number of words -> fingerprint of them -> items
-
-
-def prepared(items: list[tuple[int, str]], blocks: int, radius: int) -> Benchmark:
+    rare: np.ndarray  # shingles, in order, and items of which each is among the rarest
+    holder: np.ndarray
+
+
+def rarest(counts: list[dict[int, int]], length: list[int], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, item) in the order of shingles: of each item the rarest, more than it may lack."""
+    often = Counter(k for c in counts for k in c)
+    pairs = []
+    for i, c in enumerate(counts):
+        if length[i] > SHINGLE:
+            spare = (1 - least) * sum(c.values()) + 1e-9
+            for k in sorted(c, key=lambda k: (often[k], k)):
+                pairs.append((k, i))
+                spare -= c[k]
+                if spare < 0:
+                    break
+    pairs.sort()
+    return np.array([k for k, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
+
+
+def prepared(items: list[tuple[int, str]], blocks: int, radius: int, least: float = 0.8) -> Benchmark:
     names, counts, length = [], [], []
     entries: dict[int, list] = defaultdict(list)
     exact: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -155,7 +178,35 @@ def prepared(items: list[tuple[int, str]], blocks: int, radius: int) -> Benchmar
         prints = simhash(np.stack([sums[o + size] - sums[o] for o in range(STEP)]))
         entries[size] += [(i, o, int(p)) for o, p in enumerate(prints)]
     return Benchmark(names, counts, length, [indexed(s, e, blocks, radius) for s, e in sorted(entries.items())],
-                     {n: dict(x) for n, x in exact.items()})
+                     {n: dict(x) for n, x in exact.items()}, *rarest(counts, length, least))
+
+
+def at_ends(hashes: np.ndarray, first: np.ndarray, benchmark: Benchmark, least: float) -> Iterator[tuple[int, int, float, int]]:
+    """(row, item, similarity, first word) of similar places that the end of a text cuts off."""
+    if not len(benchmark.rare) or len(hashes) < SHINGLE:
+        return
+    rolled = arrays.rolling(hashes, SHINGLE)
+    longest = max(benchmark.length)
+    begin = np.maximum(first[:-1], first[1:] - longest + 1)
+    size = np.maximum(first[1:] - SHINGLE + 1 - begin, 0)
+    place = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+    row = np.repeat(np.arange(len(size)), size)
+    lo, hi = (np.searchsorted(benchmark.rare, rolled[place], side=side) for side in ("left", "right"))
+    n = hi - lo
+    k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    length = np.array(benchmark.length)
+    row, item, place = np.repeat(row, n), benchmark.holder[k], np.repeat(place, n)
+    near = place > first[row + 1] - length[item]
+    for r, i in np.unique(np.stack([row[near], item[near]], axis=1), axis=0).tolist():
+        end, counts = int(first[r + 1]), benchmark.counts[i]
+        start = max(int(first[r]), end - benchmark.length[i] + 1)
+        needed = least * sum(counts.values()) - 1e-9
+        if sum(min(m, counts.get(s, 0)) for s, m in shingle_counts(hashes[start:end]).items()) < needed:
+            continue
+        for word in range(start, end - SHINGLE - int(needed) + 2):
+            score = similarity(counts, shingle_counts(hashes[word:end]))
+            if score >= least:
+                yield r, i, score, word
 
 
 def found_in(data: np.ndarray, at: np.ndarray, benchmark: Benchmark, radius: int, least: float,
@@ -169,9 +220,13 @@ def found_in(data: np.ndarray, at: np.ndarray, benchmark: Benchmark, radius: int
     best: dict[tuple[int, int], tuple[float, int]] = {}
 
     def offer(row: int, item: int, score: float, word: int) -> None:
-        if score >= least and score > best.get((row, item), (0.0, 0))[0]:
+        old, place = best.get((row, item), (0.0, 0))
+        if score >= least and (score > old or score == old and word < place):
             best[row, item] = (score, word)
 
+    for row, item, score, word in at_ends(hashes, first, benchmark, least):
+        offer(row, item, score, word - int(first[row]))
+
     for n, table in benchmark.exact.items():
         if len(hashes) < n:
             continue
@@ -232,7 +287,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: i
 
     def searched(found: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = prepared(found, blocks, radius)
+            index = prepared(found, blocks, radius, least)
             for batch in batches:
                 data, at = arrays.flat(batch.column("text"))
                 ids = batch.column("id").to_pylist()

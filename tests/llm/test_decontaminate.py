@@ -68,3 +68,24 @@ def test_shifted_and_changed_passages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"] for r in decontaminate.matches(df, items(spark, [(1, " ".join(item))])).collect()}
     assert found == set(range(40))
+
+
+def test_passages_cut_off_by_the_end_of_the_document(spark, plainly):
+    """Items cut at the start or the end, alone or at the end of a text, against all windows of a plain version."""
+    from tests.llm.conftest import words
+
+    wanted = [(n, words(n, n)) for n in (9, 10, 11, 14, 20, 33, 57, 90)]
+    rows, k = [], 0
+    for n, text in wanted:
+        w = text.split()
+        for cut in range(1, n // 4 + 2):
+            for part in (w[:-cut], w[cut:], words(1_000 + k, 30).split() + w[:-cut], words(1_000 + k, 3).split() + w[cut:]):
+                rows.append((k, " ".join(part)))
+                k += 1
+        w[n // 2] = "other"
+        rows += [(k, " ".join(w[:-1])), (k + 1, " ".join(w[:-2]) + "\n")]
+        k += 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, items(spark, wanted)).collect()}
+    expected = plainly.leaks(rows, wanted)
+    assert found == expected and len(found) > 80
