@@ -274,7 +274,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: i
 
     start_word is the first word of the best place; ties take the first. A missing or empty
     text holds nothing, an item without words is held by nothing, and items with equal text
-    are each reported. Rows with equal doc_id are documents of their own. Columns beyond
+    are each reported; one without item_id as null. Rows with equal doc_id are documents of their own. Columns beyond
     doc_id and text, item_id and text are not read. At most `items` items are collected at a
     time; a larger benchmark takes more passes over the documents.
     """
@@ -302,7 +302,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: i
     out = None
     for k in range(passes):
         part = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else wanted
-        found = sorted((r["item_id"], r["text"]) for r in part.collect() if r["item_id"] is not None)
+        found = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
         step = rows.mapInArrow(searched(found), "id long, item_id long, similarity double, start_word long, n_words long")
         out = step if out is None else out.unionByName(step)
     return out.select(id_back("id").alias("doc_id"), *out.columns[1:])

@@ -89,3 +89,12 @@ def test_passages_cut_off_by_the_end_of_the_document(spark, plainly):
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, items(spark, wanted)).collect()}
     expected = plainly.leaks(rows, wanted)
     assert found == expected and len(found) > 80
+
+
+def test_items_without_an_id_are_found_too(spark):
+    from tests.llm.conftest import words
+
+    docs = spark.createDataFrame([(1, words(5, 20) + " " + words(6, 30) + " x"), (2, words(7, 60))], "doc_id long, text string")
+    wanted = items(spark, [(None, words(6, 30)), (None, words(8, 30)), (3, words(9, 30))])
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, wanted).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in decontaminate.kept(docs, wanted).collect()] == [2]
