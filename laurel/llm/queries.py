@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laurel.llm import decontaminate, html_text, near_dedup, outliers, packing, quality, secrets, substring_dedup, suffix_dedup, toxicity
+from laurel.llm import (
+    decontaminate, divergence, html_text, line_dedup, near_dedup, outliers, packing, quality, secrets, spelling, substring_dedup,
+    suffix_dedup, toxicity)
 from laurel.llm.tables import table
 
 
@@ -51,10 +53,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_lines(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_suffix_dedup, op3_near_dedup, op4_html_text, op5_secrets, op6_substring_dedup, op7_outliers, op8_decontaminate, op9_toxicity, op10_packing]
+    found = [op1_quality, op2_suffix_dedup, op3_near_dedup, op4_html_text, op5_secrets, op6_substring_dedup, op7_outliers, op8_decontaminate, op9_toxicity, op10_packing, op11_spelling,
+             op12_divergence, op13_line_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secrets": secrets.oracle()}
+    return {"op5_secrets": secrets.oracle(), "op12_divergence": divergence.oracle(), "op13_line_dedup": line_dedup.oracle()}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 
@@ -123,3 +124,78 @@ def leaks(rows, items, least=0.8, size=5):
                 if both >= least * (sum(c.values()) + sum(counts.values()) - both):
                     found.add((doc, item))
     return found
+
+
+LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+
+def spelling(rows, least=6, often=5, times=5, one_in=199):
+    n = Counter()
+    for r in rows:
+        for run in re.findall(r"[A-Za-zÀ-ÿ]+", r[1] or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if r[0] is None else r[0]}:{run}".encode())
+            n[run[:h % len(run)] + run[h % len(run) + 1:] if h % one_in == 0 else run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= least and c >= often}
+    near = {a: [b for b in n if one_edit(a, b)] for a in n}
+    form = {}
+    for w, others in near.items():
+        b = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = b if b is not None and n[b] >= times * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), None if form[w] is None else n[form[w]]))
+    return out
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:] or a[i + 1:] == b[i:]
+
+
+def divergence(rows, least=10, top=10):
+    terms, docs, groups = defaultdict(Counter), defaultdict(Counter), defaultdict(set)
+    for _, text, lang, source, *_ in rows:
+        lang, source = lang or "", source or ""
+        groups[lang].add(source)
+        found = [t.translate(LOWER) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        terms[lang, source].update(found)
+        docs[lang].update(set(found))
+    out = []
+    for lang, sources in groups.items():
+        kept = [t for t, n in docs[lang].items() if n >= least]
+        whole = Counter()
+        for s in sources:
+            whole.update({t: terms[lang, s][t] for t in kept})
+
+        def shares(counts):
+            total = sum(counts[t] for t in kept)
+            return {t: 1 + 10**9 * (counts[t] + 2) // (total + 2 * len(kept)) for t in kept}
+
+        p, q = {s: shares(terms[lang, s]) for s in sources}, shares(whole)
+        for s in sources:
+            pair = [(sum((p[s][t] - p[o][t]) ** 2 // (p[s][t] + p[o][t]) for t in kept), o) for o in sources if o != s]
+            term = [((p[s][t] - q[t]) ** 2 // (p[s][t] + q[t]), t) for t in kept if terms[lang, s][t] and p[s][t] > q[t]]
+            for part, found, limit in (("pair", pair, None), ("term", term, top)):
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, v, i) for i, (v, item) in enumerate(found[:limit], start=1)]
+    return out
+
+
+def line_repeats(rows, least_chars=20, least_docs=3):
+    held = defaultdict(set)
+    keyed = [(order(r[0]), r[0], [(x, x.strip(" \t\n\x0b\x0c\r").translate(LOWER)) for x in (r[1] or "").split("\n")]) for r in rows]
+    for i, _, lines in keyed:
+        for _, key in lines:
+            held[key].add(i)
+    out = []
+    for i, doc, lines in keyed:
+        gone = [len(k) >= least_chars and len(held[k]) >= least_docs and i < max(held[k]) for _, k in lines]
+        kept = "\n".join(x for (x, _), g in zip(lines, gone) if not g)
+        out.append((doc, len(lines), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
