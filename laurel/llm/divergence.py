@@ -33,6 +33,7 @@ TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 FLUSH = 200_000
 UNIT = 1_000_000_000
 BLOCK = 256
+SALTS = 64
 COUNTED = "lang string, source string, term string, n long, docs long"
 EDGE = ("lang", "source", "term", "n", "all")
 
@@ -161,7 +162,9 @@ def pairs(kept: DataFrame, groups: DataFrame, part_terms: int = 5_000) -> DataFr
     sizes = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("groups"), F.max("terms").alias("terms"))
     blocks = F.explode(F.sequence(F.lit(0), F.expr(f"(groups - 1) div {BLOCK}").cast("int")))
     part = F.expr(f"pmod(xxhash64(term), 1 + terms div {part_terms})")
-    dealt = kept.join(sizes, "lang").select("lang", "sources", part.alias("part"), blocks.alias("block"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a language is a hot key
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(sizes, ["lang", "salt"])
+    dealt = salted.select("lang", "sources", part.alias("part"), blocks.alias("block"))
     places = dealt.select("lang", "part", "block").distinct()
     known = places.join(groups, "lang").select("lang", "part", "block", "source", "total", "terms")
     known = known.toDF(*known.columns)  # columns of its own: both sides come from the same terms
