@@ -4,7 +4,7 @@ Candidates are found by patterns. Each candidate value is hashed, and the hashes
 over the whole corpus by distinct owners and repositories: a value that many owners share is
 an example from some manual, one that few have looks live. Base kinds are always reported;
 of the generic kind `owned`, long tokens of mixed characters without a keyword, only values
-that few owners have.
+that few owners have. What an assignment has matched, its keyword and value, is no such token.
 
 Everything is DataFrame functions. Positions come from the gaps between matches: a text
 split by a pattern gives what lies between, so running sums of lengths give starts.
@@ -27,7 +27,8 @@ KINDS = (
     ("assign", ASSIGN, 1),
     ("access", r"AKIA[A-Z0-9]{14,}", 0),
     ("hex", r"[0-9a-f]{16,}", 0),
-    ("owned", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", 0),
+    # an assignment is matched first and then holds no group 2; = only ends a token, as padding
+    ("owned", ASSIGN + r"|(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,}={0,2})", 2),
 )
 BASE = ("assign", "access", "hex")
 
@@ -92,7 +93,10 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame, shared_by: int = 3, hot_limit: int = 10_000, owner: str = "source",
            repository: list[str] | None = None) -> DataFrame:
-    """Reported spans: candidates with their owners, and live, true if fewer than `shared_by` owners have the value."""
+    """Reported spans: candidates with their owners and repositories, and live.
+
+    A value is live if fewer than `shared_by` owners have it.
+    """
     found = candidates(docs, owner, repository)
     owned = ownership(found)
     hot = hot_keys(owned, ["value_hash"], "n", hot_limit)
@@ -105,17 +109,17 @@ def scan(docs: DataFrame, shared_by: int = 3, hot_limit: int = 10_000, owner: st
          repository: list[str] | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, found.
 
-    found lists the spans as (start, stop, kind, live), in the order of start and then kind.
+    found lists the spans as (start, stop, kind, live, owners, repositories), in the order of start and then kind.
     A missing or empty text has none; a missing owner or repository is one of its own, named
     ''. Columns beyond doc_id, text and those two are not read.
     """
     name = F.element_at(F.array(*[F.lit(k) for k, _, _ in KINDS]), (F.col("kind") + 1).cast("int"))
     spans = judged(docs, shared_by, hot_limit, owner, repository).withColumn("name", name)
-    listed = F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "name", "live")))
+    listed = F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "name", "live", "owners", "repositories")))
     of_text = spans.groupBy(*KEY).agg(listed.alias("found"))
     rows = keyed(docs, owner, repository or ["source", "lang"]).drop("text")
     rows = rows.join(of_text, KEY, "left")
-    found = F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,name:string,live:boolean>>"))
+    found = F.coalesce("found", F.array().cast("array<struct<start:bigint,kind:int,stop:bigint,name:string,live:boolean,owners:bigint,repositories:bigint>>"))
     rows = rows.withColumn("found", found)
 
     def text(spans: Column) -> Column:
@@ -133,19 +137,23 @@ def scan(docs: DataFrame, shared_by: int = 3, hot_limit: int = 10_000, owner: st
         F.sha2(text(F.filter("found", lambda s: s["kind"] < len(BASE))), 256).alias("base_sha256"),
         text(F.col("found")).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
-        F.transform("found", lambda s: F.struct(s["start"], s["stop"], s["name"].alias("kind"), s["live"])).alias("found"),
+        F.transform("found", lambda s: F.struct(
+            s["start"], s["stop"], s["name"].alias("kind"), s["live"], s["owners"], s["repositories"])).alias("found"),
         "h", "owner", "repository")
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]", shared_by: int = 3, owner: str = "source",
-             repository: list[str] | None = None) -> DataFrame:
+             repository: list[str] | None = None, shared_repositories: int = 6) -> DataFrame:
     """The documents, each live span replaced by `mark`; shared examples stay. n_chars follows if docs has it.
 
+    An example is what `shared_by` owners or `shared_repositories` repositories have: one owner
+    who spreads a value over many repositories does not keep it secret either.
     Overlapping spans are replaced once, from the first start to the last stop.
     """
     names = docs.columns
     repository = repository or ["source", "lang"]
-    spans = judged(docs, shared_by, owner=owner, repository=repository).filter("live")
+    spans = judged(docs, shared_by, owner=owner, repository=repository)
+    spans = spans.filter(F.col("live") & (F.col("repositories") < shared_repositories))
     cuts = F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))))
     cuts = spans.groupBy(*KEY).agg(cuts.alias("_cuts"))
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repository]

@@ -46,6 +46,23 @@ def test_values_of_many_owners_are_not_live(spark):
         assert any(s["kind"] == "assign" and s["live"] for s in r["found"])
 
 
+def test_one_value_behind_two_keywords_is_one_value(spark):
+    value = "Zk3jd82hfKq0Lm5nOp7qRs9t"
+    rows = [(i, f"{k} = {value} end" if k else f"see {value}== end", "en", f"s{i}", 1) for i, k in enumerate(["password", "api_key", "token", ""])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r["found"] for r in secrets.scan(df).collect()}
+    for i in range(3):  # no token beside the assignment, and three owners of the value
+        assert [(s["kind"], s["owners"], s["live"]) for s in found[i]] == [("assign", 3, False)]
+    assert [(s["kind"], s["start"], s["stop"], s["owners"]) for s in found[3]] == [("owned", 4, 4 + len(value) + 2, 1)]
+
+
+def test_a_value_of_many_repositories_is_not_redacted(spark):
+    rows = [(i, LIVE, f"l{i}", "one owner", 1) for i in range(6)] + [(9, LIVE[:-1] + "1", "l0", "one owner", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert kept == {**{i: LIVE for i in range(6)}, 9: "[secret]"}
+
+
 def test_redaction_keeps_columns_and_other_text(spark):
     df = frame(spark)
     found = {r["doc_id"]: r for r in secrets.redacted(df).collect()}
