@@ -108,15 +108,19 @@ class Model:
 
 
 def isotonic(x: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising means of y over x by pooling adjacent violators: (knots, levels)."""
+    """Means of y over x that never fall, by pooling adjacent violators: (knots, levels).
+
+    Each x counts half a row of the overall mean besides its own, so that few rows alone never
+    make a certain score. That comes before pooling: afterwards it would bend the curve down.
+    """
+    mean = total.sum() / n.sum() if n.sum() else 0.0
     pools: list[list[float]] = []
     for value, count, y in sorted(zip(x.tolist(), n.tolist(), total.tolist())):
-        pools.append([value * count, count, y])
+        pools.append([value * (count + 0.5), count + 0.5, y + 0.5 * mean])
         while len(pools) > 1 and pools[-2][2] / pools[-2][1] >= pools[-1][2] / pools[-1][1]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
-    return (np.array([s / c for s, c, _ in pools]), np.array([(y + 0.5 * (y > 0)) / (c + 0.5) if 0 < y < c else y / c
-                                                               for _, c, y in pools]))
+    return np.array([s / c for s, c, _ in pools]), np.array([y / c for _, c, y in pools])
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

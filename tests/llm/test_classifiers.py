@@ -57,7 +57,32 @@ def test_isotonic_rises_and_keeps_the_mean():
     x, n = np.arange(50.0), random.integers(1, 20, 50).astype(float)
     y = np.minimum(n, np.round(n * np.clip(x / 50 + random.normal(0, .2, 50), 0, 1)))
     knots, levels = quality.isotonic(x, n, y)
-    assert (np.diff(levels) >= -0.05).all() and (np.diff(knots) > 0).all()
+    assert (np.diff(levels) > 0).all() and (np.diff(knots) > 0).all()
+
+
+def test_isotonic_rises_where_small_pools_follow_large_ones():
+    _, levels = quality.isotonic(np.arange(3.0), np.array([2.0, 1000, 3]), np.array([1.0, 510, 3]))
+    assert (np.diff(levels) > 0).all() and (0 < levels).all() and (levels < 1).all()
+
+
+def pooled_by_search(n, y):
+    """The rising step function nearest to the means: max over starts of min over ends of block means."""
+    sums = [np.concatenate([[0], np.cumsum(v)]) for v in (n, y)]
+    def mean(a, b):
+        return (sums[1][b + 1] - sums[1][a]) / (sums[0][b + 1] - sums[0][a])
+    k = range(len(n))
+    return [max(min(mean(a, b) for b in k if b >= i) for a in k if a <= i) for i in k]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_isotonic_against_the_min_max_formula(seed):
+    random = np.random.default_rng(seed)
+    n = random.integers(1, 9, 25).astype(float)
+    y = random.binomial(n.astype(int), np.linspace(0.1, 0.9, 25)).astype(float)
+    mean = y.sum() / n.sum()
+    knots, levels = quality.isotonic(np.arange(25.0), n, y)
+    expected = pooled_by_search(n + 0.5, y + 0.5 * mean)
+    assert np.allclose(levels, sorted(set(np.round(expected, 12))))
 
 
 def test_cosines_approximate_the_kernel():
