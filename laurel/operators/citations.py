@@ -6,8 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laurel.config import MetricConfig
+from laurel.functions.bloom import bloom_filter, filter_bits, might_hold
 from laurel.functions.columns import author_id, in_collections, is_person
 from laurel.functions.spread import spread_join
+from laurel.operators.ranking import Save, unsaved
+
+# Cells of the sketch that finds very cited papers: what one task sends at most.
+SKETCH_CELLS = 1 << 20
+# Two signatures with hashes of their own; an author in common shows in both.
+SIGNATURES = ("first", "second")
 
 
 def flag_discontinued(papers: DataFrame, discontinued: DataFrame, source_id: Column) -> DataFrame:
@@ -45,39 +52,90 @@ def citing_papers(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
     return citing.filter(in_collections("dbcollections", cfg.collections))
 
 
-def reference_counts(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
-    """How often each paper id is cited, known to the database or not.
-
-    Reads three columns and combines on the map side: the cheap pass that finds
-    the papers ``citation_edges`` must spread over several tasks.
-    """
+def _references(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
+    """One row per distinct reference of a citing paper; reads three columns."""
     return (
         citing_papers(publications, cfg)
         .select(F.explode(F.array_distinct("references")).alias("cited_eid"))
         .filter(F.col("cited_eid").isNotNull())
+    )
+
+
+def reference_counts(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
+    """How often each paper id is cited, known to the database or not."""
+    return _references(publications, cfg).groupBy("cited_eid").agg(
+        F.count(F.lit(1)).alias("n_references")
+    )
+
+
+def heavy_references(
+    publications: DataFrame, cfg: MetricConfig, limit: int | None = None, cells: int = SKETCH_CELLS
+) -> DataFrame:
+    """The papers with more than ``limit`` references (``hot_key_rows``), with exact counts.
+
+    A sketch first: ids are hashed to ``cells`` and the cells counted, combined on the map
+    side, so that a task sends at most that many rows. A cell counts at least as much as any
+    of its ids, so the cells beyond the limit hold all the papers wanted; they are at most
+    references / limit, which bounds their broadcast. Only ids in them are counted one by one.
+    """
+    limit = cfg.hot_key_rows if limit is None else limit
+    rows = _references(publications, cfg).withColumn(
+        "_cell", F.pmod(F.xxhash64("cited_eid"), F.lit(cells)).cast("int")
+    )
+    heavy = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    return (
+        rows.join(F.broadcast(heavy.select("_cell")), "_cell", "left_semi")
         .groupBy("cited_eid")
         .agg(F.count(F.lit(1)).alias("n_references"))
+        .filter(F.col("n_references") > limit)
     )
 
 
-def citation_edges(
+def known_papers(publications: DataFrame) -> DataFrame:
+    """A Bloom filter over all paper ids: one row with ``bits`` and ``words``."""
+    bits = filter_bits(publications.count())
+    return bloom_filter(publications.select("eid").na.drop(), "eid", bits).withColumn("bits", F.lit(bits))
+
+
+def _signature(people: Column, name: str) -> Column:
+    """64 bits of an author list: lists that share an author share a bit."""
+    bits = F.aggregate(
+        people,
+        F.lit(0).cast("long"),
+        lambda mask, auid: mask.bitwiseOR(F.call_function(
+            "shiftleft",
+            F.lit(1).cast("long"),
+            F.pmod(F.xxhash64(F.lit(name), auid), F.lit(64)).cast("int"),
+        )),
+    )
+    return F.coalesce(bits, F.lit(0).cast("long"))
+
+
+def _signatures(people: Column, side: str) -> list[Column]:
+    return [_signature(people, name).alias(f"_{side}_{name}") for name in SIGNATURES]
+
+
+def edge_candidates(
     publications: DataFrame,
     discontinued: DataFrame,
     cfg: MetricConfig,
     hot_cited: DataFrame | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (citing, cited) pair of papers that are both in the database.
+    """One row per (citing, cited) pair of known papers, and whether they may share an author.
 
-    Repeated references count once. The cited side is not filtered: any known
-    paper can be cited. ``is_self`` is 1 when both papers share an author.
-    ``hot_cited`` (from ``hot_keys`` on ``cited_eid``) spreads very cited papers.
+    What travels has a fixed width: ids and two signatures of 64 bits of each author list, never
+    the lists. ``maybe_self`` is 1 for every pair that shares an author, and for others with a
+    chance of about (a * b / 64) ** 2 for lists of a and b authors. ``known`` (from
+    ``known_papers``) keeps references to unknown papers, but for its error, out of the shuffle.
     """
+    people = _people(F.col("Au.auid"), cfg)
     citing = flag_discontinued(
         citing_papers(publications, cfg).select(
             F.col("eid").alias("citing_eid"),
             F.array_distinct("references").alias("_references"),
             F.col("source.srcid").alias("_source"),
-            _people(F.col("Au.auid"), cfg).alias("_citing_authors"),
+            *_signatures(people, "citing"),
         ),
         discontinued,
         F.col("_source"),
@@ -86,22 +144,56 @@ def citation_edges(
         "citing_eid",
         F.explode("_references").alias("cited_eid"),
         "is_discontinued",
-        "_citing_authors",
+        *[f"_citing_{name}" for name in SIGNATURES],
     ).filter(F.col("cited_eid").isNotNull())
-    cited = publications.select(
-        F.col("eid").alias("cited_eid"), _people(F.col("Au.auid"), cfg).alias("_cited_authors")
+    if known is not None:
+        bits = known.select("bits").first()["bits"]
+        references = references.filter(
+            might_hold(known.select("words").scalar(), bits, F.col("cited_eid"))
+        )
+    cited = publications.select(F.col("eid").alias("cited_eid"), *_signatures(people, "cited"))
+    meet = F.lit(True)
+    for name in SIGNATURES:
+        meet = meet & (F.col(f"_citing_{name}").bitwiseAND(F.col(f"_cited_{name}")) != 0)
+    return spread_join(references, cited, ["cited_eid"], hot_cited, "citing_eid").select(
+        "citing_eid", "cited_eid", "is_discontinued", meet.cast("int").alias("maybe_self")
     )
-    pairs = spread_join(references, cited, ["cited_eid"], hot_cited, "citing_eid")
+
+
+def citation_edges(
+    publications: DataFrame,
+    discontinued: DataFrame,
+    cfg: MetricConfig,
+    hot_cited: DataFrame | None = None,
+    known: DataFrame | None = None,
+    save: Save = unsaved,
+) -> DataFrame:
+    """One row per (citing, cited) pair of papers that are both in the database.
+
+    Repeated references count once. The cited side is not filtered: any known
+    paper can be cited. ``is_self`` is 1 when both papers share an author; only the pairs
+    whose signatures meet fetch the two author lists, which then decide. ``eid`` names one
+    paper. ``hot_cited`` (from ``heavy_references`` or ``hot_keys`` on ``cited_eid``) spreads
+    very cited papers, ``known`` (from ``known_papers``) drops unknown references early.
+    """
+    pairs = save("edge_candidates", edge_candidates(publications, discontinued, cfg, hot_cited, known))
+    cited = publications.select(F.col("eid").alias("cited_eid"), F.col("Au.auid").alias("_cited"))
+    citing = publications.select(F.col("eid").alias("citing_eid"), F.col("Au.auid").alias("_citing"))
+    checked = spread_join(
+        pairs.filter("maybe_self = 1"), cited, ["cited_eid"], hot_cited, "citing_eid"
+    ).join(citing, "citing_eid", "left")
+    ids, other_ids = _people(F.col("_citing"), cfg), _people(F.col("_cited"), cfg)
     if cfg.strict_reference:
         # array_intersect, unlike arrays_overlap, lets NULL match NULL
-        shared = F.size(F.array_intersect("_citing_authors", "_cited_authors")) > 0
+        shared = F.size(F.array_intersect(ids, other_ids)) > 0
     else:
-        shared = F.arrays_overlap("_citing_authors", "_cited_authors")
-    return pairs.select(
-        "citing_eid",
-        "cited_eid",
-        F.coalesce(shared.cast("int"), F.lit(0)).alias("is_self"),
-        "is_discontinued",
+        shared = F.arrays_overlap(ids, other_ids)
+
+    def edges(rows: DataFrame, is_self: Column) -> DataFrame:
+        return rows.select("citing_eid", "cited_eid", is_self.alias("is_self"), "is_discontinued")
+
+    return edges(pairs.filter("maybe_self = 0"), F.lit(0)).unionAll(
+        edges(checked, F.coalesce(shared.cast("int"), F.lit(0)))
     )
 
 

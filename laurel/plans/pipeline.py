@@ -24,7 +24,17 @@ from laurel.operators import (
 )
 from laurel.plans import reports
 from laurel.sources.reports import write_report
-from laurel.sources.stages import StageStore, file_identity
+from laurel.sources.stages import PLAIN, Layout, StageStore, file_identity
+
+
+# What later steps read by: citation counts and citing papers by cited paper, everything
+# about an author by author; few pairs are checked for a shared author.
+LAYOUTS = {
+    "edge_candidates": Layout(split_by="maybe_self"),
+    "edges": Layout(bucket_by="cited_eid"),
+    "author_papers": Layout(bucket_by="auid"),
+    "core_papers": Layout(bucket_by="auid"),
+}
 
 
 @dataclass(frozen=True)
@@ -72,7 +82,7 @@ class Pipeline:
         )
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        return self.store.get_or_build(name, self.cfg, lambda: df)
+        return self.store.get_or_build(name, self.cfg, lambda: df, LAYOUTS.get(name, PLAIN))
 
     def _hot(self, name: str, counts: DataFrame, on: str, n: str) -> DataFrame:
         """Keys that hold more rows than one task should; often none."""
@@ -80,15 +90,24 @@ class Pipeline:
 
     @cached_property
     def hot_cited(self) -> DataFrame:
-        counts = citations.reference_counts(self.inputs.publications, self.cfg)
+        counts = citations.heavy_references(self.inputs.publications, self.cfg)
         return self._hot("hot_cited", counts, "cited_eid", "n_references")
 
+    @cached_property
+    def known_papers(self) -> DataFrame:
+        return self.save("known_papers", citations.known_papers(self.inputs.publications))
+
     @cached_property
     def edges(self) -> DataFrame:
         return self.save(
             "edges",
             citations.citation_edges(
-                self.inputs.publications, self.inputs.discontinued, self.cfg, self.hot_cited
+                self.inputs.publications,
+                self.inputs.discontinued,
+                self.cfg,
+                self.hot_cited,
+                self.known_papers,
+                self.save,
             ),
         )
 

@@ -4,11 +4,30 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from laurel.config import MetricConfig
 
+
+@dataclass(frozen=True)
+class Layout:
+    """How the files of a stage are divided.
+
+    ``split_by`` names an integer column with few values: each value has files of its own, a
+    filter on it reads only those and tells Catalyst their size. ``bucket_by`` names a key:
+    its rows lie in sorted buckets, as many as there are shuffle partitions, and later joins,
+    windows and sums by that key read them without an exchange.
+    """
+
+    split_by: str | None = None
+    bucket_by: str | None = None
+
+
+PLAIN = Layout()
+
+
 def file_identity(df: DataFrame) -> str:
     """Digest of the files that a table is read from; empty for a table that is not read from files."""
     files = sorted(df.inputFiles())
@@ -16,15 +35,22 @@ def file_identity(df: DataFrame) -> str:
 
 
 class StageStore:
-    """Parquet stages below ``root``, keyed by name, configuration and inputs."""
+    """Parquet stages below ``root``, keyed by name, configuration, inputs and layout."""
 
     def __init__(self, spark: SparkSession, root: str, inputs: str = "") -> None:
         self.spark = spark
         self.root = root.rstrip("/")
         self.inputs = inputs
 
-    def path(self, name: str, cfg: MetricConfig) -> str:
-        return f"{self.root}/{name}-{cfg.fingerprint(name, self.inputs)}"
+    @property
+    def buckets(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def path(self, name: str, cfg: MetricConfig, layout: Layout = PLAIN) -> str:
+        divided = [layout.split_by] if layout.split_by else []
+        if layout.bucket_by:
+            divided += [layout.bucket_by, str(self.buckets)]
+        return f"{self.root}/{name}-{cfg.fingerprint(name, self.inputs, *divided)}"
 
     def is_complete(self, path: str) -> bool:
         """A stage exists once its job has committed, not while it is being written."""
@@ -34,7 +60,11 @@ class StageStore:
         return marker.getFileSystem(conf).exists(marker)
 
     def get_or_build(
-        self, name: str, cfg: MetricConfig, build: Callable[[], DataFrame]
+        self,
+        name: str,
+        cfg: MetricConfig,
+        build: Callable[[], DataFrame],
+        layout: Layout = PLAIN,
     ) -> DataFrame:
         """Read the stage, writing it first unless a complete one is there.
 
@@ -43,7 +73,34 @@ class StageStore:
         File count and size follow the shuffle partitions AQE settles on; reading
         back gives Catalyst the true size of the stage for its join choices.
         """
-        path = self.path(name, cfg)
+        path = self.path(name, cfg, layout)
+        if layout.bucket_by:
+            return self._bucketed(path, build, layout.bucket_by)
         if not self.is_complete(path):
-            build().write.mode("overwrite").parquet(path)
+            writer = build().write.mode("overwrite")
+            if layout.split_by:
+                writer = writer.partitionBy(layout.split_by)
+            writer.parquet(path)
         return self.spark.read.parquet(path)
+
+    def _bucketed(self, path: str, build: Callable[[], DataFrame], key: str) -> DataFrame:
+        """A stage in sorted buckets: external files under a name of the session's catalog.
+
+        A run that resumes finds the files and names them again.
+        """
+        name = f"laurel_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+        if not self.is_complete(path):
+            (
+                build().repartition(self.buckets, key)
+                .write.bucketBy(self.buckets, key).sortBy(key)
+                .option("path", path).format("parquet").mode("overwrite").saveAsTable(name)
+            )
+        elif not self.spark.catalog.tableExists(name):
+            columns = ", ".join(
+                f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema
+            )
+            self.spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{path}' "
+                f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {self.buckets} BUCKETS"
+            )
+        return self.spark.table(name)

@@ -415,6 +415,9 @@ def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {
         "citation_edges": "SELECT citing citing_eid, cited cited_eid, disc is_discontinued FROM edges",
         "self_citations": "SELECT citing citing_eid, cited cited_eid FROM edges WHERE self = 1",
+        "heavy_references": f"SELECT r.cited cited_eid, count(*) n_references FROM refs r "
+        f"JOIN paper a ON a.eid = r.citing WHERE a.yr >= 1997 AND a.coll IN {COUNTED} "
+        "AND r.cited IS NOT NULL GROUP BY r.cited HAVING count(*) > 20",
         "citation_counts": "SELECT eid, ws ws_cites, selfs self_cites, ns ns_cites, "
         "dc discontinued_cites FROM cnt",
         "authorship": "SELECT eid, auid, seq author_seq, n n_authors FROM au WHERE auid > 4",

@@ -19,7 +19,7 @@ from laurel_registry.tables import (
     pipeline,
 )
 from laurel.functions.columns import author_slots
-from laurel.operators import authorship, checks, profile, score, subjects, thresholds
+from laurel.operators import authorship, checks, citations, profile, score, subjects, thresholds
 from laurel.operators.indices import BASES
 from laurel.plans import reports
 from laurel.plans.pipeline import Pipeline
@@ -137,6 +137,7 @@ def _distribution(p: Pipeline) -> DataFrame:
 PLANS: dict[str, Callable[[Pipeline], DataFrame]] = {
     "citation_edges": lambda p: p.edges.select("citing_eid", "cited_eid", "is_discontinued"),
     "self_citations": lambda p: p.edges.filter("is_self = 1").select("citing_eid", "cited_eid"),
+    "heavy_references": lambda p: citations.heavy_references(p.inputs.publications, p.cfg, 20),
     "citation_counts": lambda p: p.citation_counts,
     "authorship": _authorship,
     "counted_publications": _counted,

@@ -1,5 +1,8 @@
+import random
 from dataclasses import replace
 
+import pytest
+
 from laurel.functions.spread import hot_keys
 from laurel.operators import citations
 
@@ -68,3 +71,51 @@ def test_spread_edges_equal_plain_edges(publications, discontinued, cfg):
     spread = citations.citation_edges(pubs, discontinued([]), cfg, hot)
     assert sorted(plain.collect()) == sorted(spread.collect())
     assert plain.count() == 80 + 54  # all cite paper 1, ids not divisible by 3 also paper 2
+
+
+def test_heavy_references_are_all_papers_beyond_the_limit(publications, cfg):
+    rows = [paper(1)] + [paper(i, refs=[1, -3] + [i % 7] * (i % 3 > 0)) for i in range(100, 150)]
+    pubs = publications(rows)
+    counted = citations.reference_counts(pubs, cfg)
+    for limit, cells in ((4, 1), (4, 8), (10, 1 << 20), (49, 2), (50, 2)):
+        found = citations.heavy_references(pubs, cfg, limit, cells)
+        assert sorted(found.collect()) == sorted(counted.filter(f"n_references > {limit}").collect())
+
+
+def people(seed):
+    """Papers with long, short, empty and missing author lists, many of them shared."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(60):
+        n = r.choice([0, 1, 2, 5, 120])
+        authors = [r.choice([None, 2, *range(5, 400)]) for _ in range(n)]
+        rows.append(paper(i, authors=authors, refs=[r.randrange(90) for _ in range(6)]))
+    return rows
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_signatures_lose_no_self_citation(publications, discontinued, cfg, strict):
+    rows = people(3)
+    lists = {
+        r[0]: {None if a[0] is None else int(a[0]) for a in r[7] or ()} for r in rows
+    }
+    if not strict:
+        lists = {i: {a for a in found if a is not None and a > 4} for i, found in lists.items()}
+    expected = {
+        (r[0], c): int(bool(lists[r[0]] & lists[c])) for r in rows for c in set(r[5]) if c in lists
+    }
+    pubs = publications(rows)
+    edges = citations.citation_edges(
+        pubs, discontinued([]), replace(cfg, strict_reference=strict),
+        known=citations.known_papers(pubs),
+    )
+    found = edges.collect()
+    assert len(found) == len(expected)
+    assert {(r.citing_eid, r.cited_eid): r.is_self for r in found} == expected
+    assert 0 < sum(expected.values()) < len(expected)
+
+
+def test_few_pairs_fetch_their_lists(publications, discontinued, cfg):
+    rows = [paper(i, authors=[3 * i + 5, 3 * i + 6], refs=[i - 1, i - 2]) for i in range(200)]
+    pairs = citations.edge_candidates(publications(rows), discontinued([]), cfg)
+    assert pairs.filter("maybe_self = 1").count() <= 0.05 * pairs.count()

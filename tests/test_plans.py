@@ -9,9 +9,10 @@ import pytest
 from laurel_registry import queries as registered
 from laurel_registry import tables
 from laurel.operators import authorship, citations, institutions, profile
+from laurel.plans.pipeline import LAYOUTS
 from laurel.plans.run import load_inputs, run
 
-from tests.conftest import SF
+from tests.conftest import SF, paper
 
 
 def text(df):
@@ -53,6 +54,66 @@ def test_scans_leave_names_on_disk(pipe):
     )[0]
 
 
+def records_written(df, partitioning):
+    """Rows that a query which has run sent through the exchanges with this partitioning."""
+    found, queue = {}, [df._jdf.queryExecution().executedPlan()]
+    while queue:
+        node = queue.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            queue.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            queue.append(node.plan())
+        elif node.nodeName() == "Exchange" and partitioning in node.toString().split("\n")[0]:
+            found[node.id()] = node.metrics().apply("shuffleRecordsWritten").value()
+        queue += [node.children().apply(i) for i in range(node.children().size())]
+    assert found
+    return sum(found.values())
+
+
+def exchanged(plan):
+    return re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+
+
+def test_author_lists_travel_for_pairs_whose_signatures_meet_only(pipe):
+    pubs, cfg = pipe.inputs.publications, pipe.cfg
+    pairs = text(citations.edge_candidates(
+        pubs, pipe.inputs.discontinued, cfg, pipe.hot_cited, pipe.known_papers
+    ))
+    assert exchanged(pairs) and not [x for x in exchanged(pairs) if "auid" in x]
+    reading = text(pipe.edges)
+    assert "edges-" in reading  # written once, read from there on
+    whole = text(citations.citation_edges(
+        pubs, pipe.inputs.discontinued, cfg, pipe.hot_cited, pipe.known_papers, pipe.save
+    ))
+    assert "edge_candidates-" in whole
+    for travels in exchanged(whole):  # ids of pairs, or the list of one paper
+        assert "auid" not in travels or "maybe_self" not in travels
+
+
+def test_unknown_references_stay_out_of_the_exchange(pipe, publications, discontinued):
+    rows = [paper(i, refs=[i - 1, *range(10_000 + 20 * i, 10_020 + 20 * i)]) for i in range(50)]
+    pubs, cfg = publications(rows), pipe.cfg
+
+    def sent(known):
+        config = pubs.sparkSession.conf
+        config.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            pairs = citations.edge_candidates(pubs, discontinued([]), cfg, None, known)
+            assert len(pairs.collect()) == 49
+            return records_written(pairs, "hashpartitioning(cited_eid")
+        finally:
+            config.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    assert sent(None) == 50 * 21 + 50
+    assert sent(citations.known_papers(pubs)) <= 49 + 1 + 50 + 0.05 * 50 * 20
+
+
+def test_very_cited_papers_are_found_by_a_sketch(pipe):
+    plan = text(citations.heavy_references(pipe.inputs.publications, pipe.cfg))
+    first = exchanged(plan)
+    assert any(x.startswith("[2]") or "_cell" in x for x in first)
+
+
 def test_year_filters_reach_the_scan(pipe):
     pubs, cfg = pipe.inputs.publications, pipe.cfg
     assert "GreaterThanOrEqual(year,1997)" in text(citations.reference_counts(pubs, cfg))
@@ -60,10 +121,34 @@ def test_year_filters_reach_the_scan(pipe):
 
 
 def test_windows_and_sums_share_one_shuffle_by_author(pipe):
-    plan = text(profile.paper_metrics(pipe.core_papers, pipe.cfg))
+    rows = pipe.spark.read.parquet(*{f.rsplit("/", 1)[0] for f in pipe.core_papers.inputFiles()})
+    plan = text(profile.paper_metrics(rows, pipe.cfg))
     assert len(re.findall(r"hashpartitioning\(auid", plan)) == 1
 
 
+def test_stages_are_read_without_an_exchange_on_their_key(pipe):
+    assert "hashpartitioning" not in text(pipe.citation_counts)
+    assert "hashpartitioning" not in text(profile.paper_metrics(pipe.core_papers, pipe.cfg))
+    assert "hashpartitioning" not in text(authorship.author_sizes(pipe.author_papers))
+    assert "auid" not in "".join(re.findall(r"hashpartitioning\(.*", text(
+        authorship.rows_of_core_authors(pipe.author_papers, authorship.author_sizes(pipe.author_papers), pipe.cfg))))
+    joined = text(authorship.author_papers(
+        pipe.inputs.publications, pipe.citation_counts, pipe.inputs.classification, pipe.inputs.discontinued, pipe.cfg))
+    assert "cited_eid" not in "".join(re.findall(r"hashpartitioning\(.*", joined))
+
+
+def test_a_run_that_resumes_names_its_buckets_again(spark, pipe):
+    path = pipe.store.path("edges", pipe.cfg, LAYOUTS["edges"])
+    before = sorted(pipe.edges.collect())
+    for table in spark.catalog.listTables():
+        if table.name.startswith("laurel_"):
+            spark.sql(f"DROP TABLE {table.name}")
+    again = pipe.store.get_or_build("edges", pipe.cfg, lambda: None, LAYOUTS["edges"])
+    assert path in again.inputFiles()[0]
+    assert sorted(again.collect()) == before
+    assert "hashpartitioning" not in text(citations.citation_counts(again))
+
+
 def test_no_window_orders_everything_in_one_task(pipe):
     for name in ("global_rank", "subfield_rank", "h_index", "distinct_citing", "thresholds_total", "ratio_distribution"):
         plan = text(registered.PLANS[name](pipe))
