@@ -27,7 +27,7 @@ def cell_of(value: Column) -> Column:
 
 
 def value_ranks(
-    rows: DataFrame, by: Sequence[str], value: str, blocks: bool = True
+    rows: DataFrame, by: Sequence[str], value: str, blocks: bool = True, times: str | None = None
 ) -> DataFrame:
     """One row per distinct (``by``, ``value``): its count and how many rows lie above it.
 
@@ -35,13 +35,14 @@ def value_ranks(
     values collapse in the map-side part of the first aggregation, so a tie shared
     by any number of rows costs one row here. The rest is ordered block, cell,
     value: see ``running_totals``. ``blocks=False`` leaves out the coarsest level
-    when ``by`` already confines the values to a narrow interval.
+    when ``by`` already confines the values to a narrow interval. ``times`` names a
+    column that says how many rows a row stands for.
     Columns added: ``n``, ``n_before`` (rows with a greater value), ``n_group``.
     """
     by = list(by)
     values = (
         rows.groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
         .withColumn("_fine", cell_of(F.col(value)))
     )
     levels = [("_fine", "desc"), (value, "desc")]

@@ -51,27 +51,53 @@ def _subjects(levels):
     )
 
 
-def _values(ranked: DataFrame, levels) -> DataFrame:
-    """One row per author, subject level and measure that has a value."""
+def threshold_values(ranked: DataFrame) -> DataFrame:
+    """How many authors of a (subfield, field) have each value of each measure.
+
+    The finest groups there are: those of every level are unions of them, so counts of
+    fields and of the total come from adding up, never from listing an author again.
+    ``ranked`` is read once; both passes over the values start from this table.
+    """
     entries = []
     for prefix, (column, _, top_only) in MEASURES.items():
         value = F.col(column).cast("double")
         if top_only:
             value = F.when(F.col("top_listed"), value)
         entries.append(F.struct(F.lit(prefix).alias("measure"), value.alias("value")))
+    measures = F.filter(F.array(*entries), lambda m: m["value"].isNotNull())
     return (
-        ranked.select(F.array(*entries).alias("_m"), _subjects(levels).alias("_s"))
-        .select("_s.*", F.explode(F.filter("_m", lambda m: m["value"].isNotNull())).alias("_m"))
-        .select(*_BY, "_m.measure", "_m.value")
-        # filtered above; declared non-NULL so that the plan's branches share shuffles
-        .withColumn("value", F.coalesce("value", F.lit(0.0)))
-        .withColumn(
-            "cell",
-            F.coalesce(
-                F.floor(F.col("value") * float(1 << COARSE_BITS)).cast("long"),
-                F.lit(0).cast("long"),
-            ),
-        )
+        ranked.select("subfield_1", "field_1", F.explode(measures).alias("_m"))
+        .groupBy("subfield_1", "field_1", "_m.measure", "_m.value")
+        .agg(F.count(F.lit(1)).alias("n_authors"))
+    )
+
+
+def _with_cells(values: DataFrame) -> DataFrame:
+    # values are never NULL; declared so, in order that the plan's branches share shuffles
+    return values.withColumn("value", F.coalesce("value", F.lit(0.0))).withColumn(
+        "cell",
+        F.coalesce(
+            F.floor(F.col("value") * float(1 << COARSE_BITS)).cast("long"),
+            F.lit(0).cast("long"),
+        ),
+    )
+
+
+def subject_cells(values: DataFrame, levels=LEVELS) -> DataFrame:
+    """Authors per coarse cell of each subject and measure: a histogram per subject.
+
+    Counted per (subfield, field) first; only these counts are listed for each level and
+    merged, a few rows per subject whatever the number of authors.
+    """
+    finest = (
+        _with_cells(values)
+        .groupBy("subfield_1", "field_1", "measure", "cell")
+        .agg(F.sum("n_authors").alias("n"))
+    )
+    return (
+        finest.select("measure", "cell", "n", _subjects(levels).alias("_s"))
+        .groupBy("_s.level", "_s.subject", "_s.assigned", "measure", "cell")
+        .agg(F.sum("n").alias("n"))
     )
 
 
@@ -80,7 +106,7 @@ def _reaches(above, total, point):
     return (total - above) / total >= point
 
 
-def cutoff_cells(values: DataFrame) -> DataFrame:
+def cutoff_cells(histograms: DataFrame) -> DataFrame:
     """The coarse cell in which each cut-off lies, with the rows above that cell."""
     group = Window.partitionBy(*_BY, "measure")
     above = group.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,9 +116,7 @@ def cutoff_cells(values: DataFrame) -> DataFrame:
         for part in (F.lit(prefix), F.array(*[F.lit(p) for p in wanted]))
     ])
     return (
-        values.groupBy(*_BY, "measure", "cell")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("cell_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+        histograms.withColumn("cell_above", F.coalesce(F.sum("n").over(above), F.lit(0)))
         .withColumn("n_values", F.sum("n").over(group))
         .withColumn("point", F.explode(points[F.col("measure")]))
         .filter(_reaches(F.col("cell_above"), F.col("n_values"), F.col("point") / 100.0))
@@ -102,17 +126,20 @@ def cutoff_cells(values: DataFrame) -> DataFrame:
     )
 
 
-def percentile_cutoffs(values: DataFrame, save: Save = unsaved) -> DataFrame:
+def percentile_cutoffs(values: DataFrame, levels=LEVELS, save: Save = unsaved) -> DataFrame:
     """Exact cut-offs: the least value whose inverse rank position reaches the percentile.
 
-    Pass one counts coarse cells (map-side combined) and finds the few that hold
-    a cut-off. Pass two orders only the values inside those cells. ``n_reached``
+    Pass one merges histograms of coarse cells and finds the few that hold a cut-off.
+    Pass two orders only the values inside those cells. ``n_reached``
     is the number of rows at or above the cut-off.
     """
-    cells = save("threshold_cells", cutoff_cells(values))
+    cells = save("threshold_cells", cutoff_cells(subject_cells(values, levels)))
     keys = [*_BY, "measure", "cell"]
-    inside = values.join(cells.select(*keys).distinct(), keys)
-    ranks = value_ranks(inside, keys, "value", blocks=False).select(*keys, "value", "n", "n_before")
+    listed = _with_cells(values).select(
+        _subjects(levels).alias("_s"), "measure", "cell", "value", "n_authors"
+    ).select("_s.*", "measure", "cell", "value", "n_authors")
+    inside = listed.join(cells.select(*keys).distinct(), keys)
+    ranks = value_ranks(inside, keys, "value", blocks=False, times="n_authors").select(*keys, "value", "n", "n_before")
     return (
         ranks.join(cells, keys)
         .filter(
@@ -160,7 +187,8 @@ def subject_thresholds(
                 here = (F.col("measure") == prefix) & (F.col("point") == point)
                 reached = F.coalesce(F.max(F.when(here, F.col("n_reached"))), F.lit(0))
                 columns.append(reached.alias(f"n_{prefix}_{point}"))
-    cutoffs = percentile_cutoffs(_values(ranked, levels), save).groupBy(*_BY).agg(*columns)
+    values = save("threshold_values", threshold_values(ranked))
+    cutoffs = percentile_cutoffs(values, levels, save).groupBy(*_BY).agg(*columns)
     joined = counts.join(cutoffs, _BY, "left")
     # a subject whose authors have no value at all still counts 0 beyond a cut-off
     joined = joined.na.fill(

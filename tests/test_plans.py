@@ -5,10 +5,11 @@ import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from laurel_registry import queries as registered
 from laurel_registry import tables
-from laurel.operators import authorship, citations, institutions, profile
+from laurel.operators import authorship, citations, institutions, profile, thresholds
 from laurel.plans.pipeline import LAYOUTS
 from laurel.plans.run import load_inputs, run
 
@@ -149,6 +150,19 @@ def test_a_run_that_resumes_names_its_buckets_again(spark, pipe):
     assert "hashpartitioning" not in text(citations.citation_counts(again))
 
 
+def test_cutoffs_read_the_authors_once_and_merge_histograms(pipe):
+    assert pipe.thresholds is not None
+    values = pipe.save("threshold_values", None)  # the thresholds stage has written it
+    assert {"subfield_1", "field_1", "measure", "value", "n_authors"} == set(values.columns)
+    cells = text(thresholds.cutoff_cells(thresholds.subject_cells(values)))
+    # the three levels are listed after the first aggregation, from counts
+    assert cells.index("Generate") > cells.index("HashAggregate")
+    assert "ranked-" not in text(thresholds.percentile_cutoffs(values))
+    by_level = {r.level: r.n for r in thresholds.subject_cells(values).filter("measure = 'c'")
+                .groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    assert set(by_level.values()) == {pipe.ranked.filter("ws_c is not null").count()}
+
+
 def test_no_window_orders_everything_in_one_task(pipe):
     for name in ("global_rank", "subfield_rank", "h_index", "distinct_citing", "thresholds_total", "ratio_distribution"):
         plan = text(registered.PLANS[name](pipe))
