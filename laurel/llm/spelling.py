@@ -6,8 +6,9 @@ their words in total are fewest. One edit spoils at most one of two disjoint piv
 near words the one whose prefix ends earlier has its other pivot within the other's prefix, at a
 place that moved by one at most. So pivots are looked up among the prefixes of other words.
 
-The limit on places is used in full: the one edit lies before the surviving pivot or after it,
-so that the whole text up to it or the whole text from it is equal. The index key is that text.
+The limit on places is used in full: the one edit lies after the first pivot or before the
+second, so that the whole text up to the end of the first or from the start of the second is
+equal. The index key is that text.
 
     texts --> words with their counts --> pivots, prefixes --> candidates --> verified links
       --> each word's most frequent near word --> roots by pointer jumping
@@ -122,9 +123,8 @@ def _entries(frequency: dict[str, int]):
                 prefix, chosen = pivots([((frequency[g], g), i) for i, g in enumerate(grams)])
                 for at in prefix:
                     # the text up to the gram, or from it on; the mark keeps the two apart
-                    both = ["<" + word[:at + GRAM], ">" + word[at:]]
-                    key += both
-                    pivot += [at in chosen] * 2
+                    key += ["<" + word[:at + GRAM], ">" + word[at:]]
+                    pivot += [at == chosen[0], at == chosen[-1]]
                     words += [word] * 2
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(pivot), pa.array(words, pa.string())], schema=schema)
 
