@@ -1,11 +1,16 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks at block-level tags. The first pass decides from where a block
-stands (menus, page headers and footers, asides and forms are boilerplate, and so is what
-class, id or role name that, unless it holds the page's text) and from its length, link
-density and stop-word density; an article element that holds much of the page's text is a
-prior for these. Short blocks and middling ones stay open; in the second pass they take the
-label of their nearest decided neighbours.
+stands (menus, page footers and asides are boilerplate; forms, page headers and what class,
+id or role name as boilerplate are so too unless they hold the page's text) and from its
+length, link density and stop-word density; an article element that holds much of the page's
+text is a prior for these. On a page in a language without known stop words, length and link
+density decide. Short blocks and middling ones stay open; in the second pass they take the
+label of their nearest decided neighbours. If that leaves nothing, paragraphs and sentences
+that nothing speaks against are the text.
+
+A page is read once from start to end, in time proportional to its length however broken it
+is: a tag whose quotes never close ends the reading of quotes on that page.
 """
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ BLOCK = frozenset(
 NO_TEXT = frozenset(
     "applet audio button canvas datalist embed head iframe map math noembed noframes noscript object script select "
     "style svg template textarea title video".split())
-BOILERPLATE = frozenset("aside dialog fieldset footer form menu nav".split())
+BOILERPLATE = frozenset("aside footer menu nav".split())
+# Tags of boilerplate that some pages put around everything, so that what they hold decides.
+WRAPPERS = frozenset("dialog fieldset form".split())
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -48,28 +55,34 @@ STOP = frozenset(
     "au aux avec ce dans de des du elle en est et il la le les ne pas par pour que qui sur un une "
     "así con como del el en es la las lo los no o para por que se su una y".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+REMARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+OPENED = re.compile(r"</?[a-zA-Z]")
 UNFINISHED = re.compile(r"<(?:/?[a-zA-Z][^<>]*|/|!-{0,2})?\Z")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CONCEALED = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"\w+")
+# Scripts that write a word in one or two characters; ends of sentences.
+DENSE_SCRIPT = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af]")
+SENTENCE = re.compile("[.!?\u2026\u0964\u061f\u3002\uff01\uff1f][\"'\u00bb\u201c\u201d\u2019)\\]]*$")
 CAMEL = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "inside", "away", "heading", "text", "label", "named", "against")
+    __slots__ = ("parts", "linked", "inside", "away", "heading", "paragraph", "text", "label", "named", "against")
 
-    def __init__(self, inside: int, away: bool, heading: bool, named: int):
+    def __init__(self, inside: int, away: bool, heading: bool, paragraph: bool, named: int):
         self.parts: list[str] = []
         self.linked = 0
         self.inside, self.away, self.heading, self.named = inside, away, heading, named
+        self.paragraph = paragraph
         self.text, self.label, self.against = "", "", False
 
 
 class Named:
-    """An element whose class, id or role has a word of NAMES."""
+    """An element whose tag is one of WRAPPERS, or whose class, id or role has a word of NAMES."""
 
     __slots__ = ("above", "vote", "talk", "article", "own", "held", "against", "away")
 
@@ -136,9 +149,12 @@ def blocks(page: str) -> Page:
     stack: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, article, named element
     articles = [0]
     names = [Named(0, 0, False)]
+    places: dict[str, list[int]] = {}  # where each tag is open on the stack
+    walls: list[int] = []  # where block-level tags are
     links = 0
     current: Block | None = None
     at = 0
+    quoted, last = TAG, page.rfind(">")
 
     def add(raw: str) -> None:
         nonlocal current
@@ -149,22 +165,27 @@ def blocks(page: str) -> Page:
                 return
             away = bool(stack) and stack[-1][1]
             inside, name = stack[-1][2:] if stack else (0, 0)
-            current = Block(inside, away, any(s[0] in HEADINGS for s in stack[-3:]), name)
+            near = [s[0] for s in stack[-3:]]
+            current = Block(inside, away, not HEADINGS.isdisjoint(near), "p" in near, name)
             out.append(current)
         text = html.unescape(raw) if "&" in raw else raw
         current.parts.append(text)
         if links:
             current.linked += len(text.strip())
 
-    def close(tag: str) -> None:
+    def cut(i: int) -> None:
         nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                links -= sum(s[0] == "a" for s in stack[i:])
-                del stack[i:]
-                return
-            if tag not in BLOCK and stack[i][0] in BLOCK:
-                return
+        while len(stack) > i:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            if tag in BLOCK:
+                walls.pop()
+            links -= tag == "a"
+
+    def close(tag: str) -> None:
+        open_at = places.get(tag)
+        if open_at and (tag in BLOCK or not walls or walls[-1] < open_at[-1]):
+            cut(open_at[-1])
 
     n = len(page)
     while at < n:
@@ -172,7 +193,12 @@ def blocks(page: str) -> Page:
         if start < 0:
             add(page[at:])
             break
-        m = TOKEN.match(page, start) or LOOSE.match(page, start)
+        m = REMARK.match(page, start)
+        if m is None and start < last and OPENED.match(page, start):
+            m = quoted.match(page, start)
+            if m is None:
+                quoted = LOOSE
+                m = quoted.match(page, start)
         if m is None:
             if UNFINISHED.match(page, start):
                 add(page[at:start])
@@ -183,7 +209,7 @@ def blocks(page: str) -> Page:
         if start > at:
             add(page[at:start])
         at = m.end()
-        if m.lastindex is None or m[2] is None:
+        if m.re is REMARK:
             continue
         tag = m[2].lower()
         if tag in BLOCK:
@@ -202,28 +228,28 @@ def blocks(page: str) -> Page:
             continue
         if tag in BLOCK and stack and stack[-1][0] not in BLOCK or tag == "p":
             # an open paragraph ends here, and with it what was left open inside
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    links -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            if walls and stack[walls[-1]][0] == "p":
+                cut(walls[-1])
         if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
-            stack.pop()
+            cut(len(stack) - 1)
         above = stack[-1] if stack else ("", False, 0, 0)
         inside, name = above[2:]
         if tag in ("article", "main"):
             articles.append(inside)
             inside = len(articles) - 1
             names[name].article = True
-        away = above[1] or tag in BOILERPLATE or tag in NO_TEXT or tag == "header" and not inside
+        away = above[1] or tag in BOILERPLATE or tag in NO_TEXT
         if tag not in ("html", "body", "article", "main") and tag not in HEADINGS:
             away = away or bool(CONCEALED.search(m[3]))
             vote, talk = named(m[3])
+            if tag in WRAPPERS or tag == "header" and not inside:
+                vote = 2
             if vote:
                 names.append(Named(name, vote, talk))
                 name = len(names) - 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            walls.append(len(stack))
         stack.append((tag, away, inside, name))
         links += tag == "a"
     for b in out:
@@ -235,7 +261,7 @@ def blocks(page: str) -> Page:
 
 
 def decide(found: Page, short: int = 70, long: int = 200, links: float = 0.5, low: float = 0.15,
-           high: float = 0.3) -> None:
+           high: float = 0.3, foreign: float = 0.03) -> None:
     """Labels each block text or none, in two passes.
 
     An article or main element that holds at least half as much as what is largest on the
@@ -243,13 +269,22 @@ def decide(found: Page, short: int = 70, long: int = 200, links: float = 0.5, lo
     decided neighbour speaks against it; outside of it only long and dense ones are.
     """
     above = found.above
-    density, linked = [], []
+    density, linked, sizes = [], [], []
+    stops = total = 0
     own, top = [0] * len(above), list(range(len(above)))
     for b in found:
         words = WORD.findall(b.text.lower())
-        density.append(sum(w in STOP for w in words) / max(1, len(words)))
+        known = sum(w in STOP for w in words)
+        density.append(known / max(1, len(words)))
         linked.append(b.linked > links * len(b.text))
-        if not b.away and not linked[-1] and (b.inside or density[-1] >= low and len(b.text) >= short):
+        sizes.append(len(b.text) + (0 if b.text.isascii() else 2 * len(DENSE_SCRIPT.findall(b.text))))
+        if not b.away and not linked[-1] and sizes[-1] >= short:
+            stops, total = stops + known, total + len(words)
+    if stops < foreign * total:
+        # no language whose stop words are known: what length says stands for the density
+        density = [max(d, high if size >= long else low if size >= short else 0) for d, size in zip(density, sizes)]
+    for i, b in enumerate(found):
+        if not b.away and not linked[i] and (b.inside or density[i] >= low and sizes[i] >= short):
             own[b.inside] += len(b.text)
     held = list(own)
     for c in range(len(above) - 1, 0, -1):
@@ -259,7 +294,7 @@ def decide(found: Page, short: int = 70, long: int = 200, links: float = 0.5, lo
     prior = [c > 0 and 2 * held[c] >= max(own) > 0 for c in range(len(above))]
     some = any(prior)
     for i, b in enumerate(found):
-        size, dense = len(b.text), density[i]
+        size, dense = sizes[i], density[i]
         if b.away or linked[i]:
             b.label = "none"
         elif b.against or some and not b.inside:
@@ -282,6 +317,10 @@ def decide(found: Page, short: int = 70, long: int = 200, links: float = 0.5, lo
             continue
         before, after = behind[i][0], ahead[i][0]
         b.label = before if before == after else "text" if first[i] == "open" or b.heading and after == "text" else "none"
+    if not any(b.label == "text" for b in found):
+        for i, b in enumerate(found):
+            if first[i] in ("short", "open") and not b.against and (b.paragraph or SENTENCE.search(b.text)):
+                b.label = "text"
 
 
 def _nearest(found: list[Block], first: list[str], top: list[int]) -> list[tuple[str, str]]:

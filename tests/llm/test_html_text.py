@@ -86,3 +86,63 @@ def test_link_lists_in_an_article_go_and_its_other_blocks_stay():
 def test_a_long_text_outside_of_the_article_is_judged_too():
     page = f"<body><article><p>{PROSE * 3}</p></article><div><p>{PROSE * 3}And more.</p></div><div>Contact us</div></body>"
     assert html_text.main_text(page) == (PROSE * 3).strip() + "\n\n" + PROSE * 3 + "And more."
+
+
+# Three paragraphs and a heading in languages whose stop words are not known, or hardly.
+FOREIGN = {
+    "russian": ("Дом на холме", "Говорят, что дом на холме построил человек, который до сих пор в нём живёт и не собирается никуда уезжать. "),
+    "greek": ("Το σπίτι", "Λένε πως το σπίτι πάνω στον λόφο χτίστηκε από τον άνθρωπο που μένει ακόμη εκεί και δεν σκοπεύει να φύγει ποτέ. "),
+    "arabic": ("البيت على التل", "يقال إن البيت الواقع فوق التل بناه الرجل الذي لا يزال يعيش فيه ولا ينوي الرحيل عنه في هذه السنة أو بعدها. "),
+    "hindi": ("पहाड़ी पर घर", "कहा जाता है कि पहाड़ी पर बना घर उसी आदमी ने बनाया था जो आज भी उसमें रहता है और कहीं नहीं जाना चाहता। "),
+    "chinese": ("山上的房子", "据说山上的那座房子是由至今仍然住在里面的那个人建造的,他今年也没有打算离开这里到别处去生活。"),
+    "japanese": ("丘の上の家", "丘の上にあるその家は、今でもそこに住んでいる人が自分で建てたものだと言われており、引っ越す予定はないそうです。"),
+    "korean": ("언덕 위의 집", "언덕 위에 있는 그 집은 지금도 그곳에 살고 있는 사람이 직접 지었다고 하며 올해도 떠날 생각이 없다고 합니다. "),
+    "finnish": ("Talo mäellä", "Sanotaan, että mäellä seisovan talon rakensi mies, joka yhä asuu siinä eikä aio muuttaa sieltä minnekään tänä vuonna. "),
+    "turkish": ("Tepedeki ev", "Tepenin üstündeki evi hâlâ içinde yaşayan adamın yaptığı ve bu yıl başka yere taşınmayı düşünmediği söyleniyor. "),
+    "hungarian": ("Ház", "Azt mondják, hogy hegyen álló házat olyan ember építette, aki máig benne lakik, és idén sem készül elköltözni onnan. "),
+}
+AROUND = ("{}", '<form id="aspnetForm" action="/"><input type="hidden" name="s" value="x">{}</form>',
+          '<div class="page-header-wide">{}</div>', "<fieldset><div>{}</div></fieldset>")
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("language", [*FOREIGN, "english"])
+def test_pages_of_any_language_without_an_article(language, around):
+    heading, sentence = FOREIGN.get(language, ("On the hill", PROSE))
+    text = [heading, (sentence * 3).strip(), (sentence * 4).strip(), (sentence * 2).strip()]
+    inner = f"<h1>{text[0]}</h1>" + "".join(f"<p>{t}</p>" for t in text[1:])
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul>"
+    page = f"<body>{around.format(menu + f'<div>{inner}</div>')}<nav>menu</nav><footer><p>{sentence * 2}</p></footer></body>"
+    assert html_text.main_text(page).split("\n\n") == text
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><p>One short paragraph.</p></body>", "One short paragraph."),
+    ("<body><nav>menu</nav><div>It is gone!</div><div>Contact</div></body>", "It is gone!"),
+    ("<body><form><p>Your mail.</p></form></body>", ""),
+    ("<body><div><a href=1>Home.</a></div><div>Contact</div></body>", ""),
+    (f"<body><header><h1>Site</h1></header><p>{PROSE * 3}</p><form><label>Mail</label><p>Your name.</p></form></body>", (PROSE * 3).strip()),
+    (f'<body><form><div class="sidebar"><p>{PROSE}</p></div><p>{PROSE * 4}</p></form></body>', (PROSE * 4).strip()),
+])
+def test_short_pages_and_forms(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("unit, end", [
+    ('<a "', ""), ('<a "', ">"), ('<a "x>" ', ""), ("<a '\"", "'>"), ("<" + "a" * 50, ""), ("<b>", "</i>" * 150_000), ("<i><div>", ""),
+    ("<b>", "<div></div>" * 50_000), ("<i><div>", "</i>" * 150_000), ("</div>", ""), ("<!--", ""), ("<script>", ""), ("<div class=", ""),
+    ('<div class="ad">', ""), ("<p>a. <b>", ""), ("<", ""), ("&am", ""),
+])
+def test_broken_pages_are_read_in_linear_time(unit, end):
+    from time import process_time
+
+    def seconds(size):
+        began = process_time()
+        html_text.main_text(unit * (size // len(unit)) + end)
+        return process_time() - began
+
+    assert seconds(1_000_000) < 10
+
+
+def test_text_after_quotes_that_never_close():
+    assert html_text.main_text(f"<article><p title='x>{PROSE}</p><p class=\"y\">{PROSE}</p></article>") == "\n\n".join([PROSE.strip()] * 2)
