@@ -184,7 +184,7 @@ class Pipeline:
 
     @cached_property
     def author_names(self) -> DataFrame:
-        return names.author_names(self.inputs.publications, self.cfg)
+        return names.author_names(self.inputs.publications, self.cfg, self.save)
 
     @cached_property
     def author_institution(self) -> DataFrame:

@@ -107,3 +107,45 @@ def test_a_position_that_two_slots_share_belongs_to_both(spark, publications, cf
     rows = [paper(1, authors=people, links=[(1, 1)], affiliations=[(5, ["A"], "X")])]
     links = institutions.author_affiliations(publications(rows), cfg)
     assert sorted((r.auid, r.affil_id) for r in links.collect()) == [(10, 5), (11, 5)]
+
+
+def test_order_of_records_is_that_of_their_parts(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    parts = [
+        (g, d, e, s)
+        for g in (False, True)
+        for d in (None, dt.date(1, 1, 1), dt.date(1969, 12, 31), dt.date(9999, 12, 31))
+        for e in (None, least, -1, 0, most)
+        for s in (None, -(1 << 31), 0, (1 << 31) - 1)
+    ]
+    df = spark.createDataFrame(parts[::-1], "g boolean, d date, e long, s int")
+    order = names.record_order(*[df[c] for c in "gdes"])
+    assert [tuple(r) for r in df.orderBy(order).collect()] == parts
+    assert df.select(order).distinct().count() == len(parts)
+
+
+def test_repeated_records_take_the_greatest_name_once(publications, cfg):
+    rows = [paper(1, authors=[author(10, 1, "A", "S")]), paper(1, authors=[author(10, 1, "B", "S")])]
+    rows += [paper(2, 1990, authors=[author(11, None)])]
+    got = {r.auid: tuple(r)[1:] for r in names.author_names(publications(rows), cfg).collect()}
+    assert got == {10: (1, "S, B", 2000, 2000), 11: (2, None, 1990, 1990)}
+    assert names.author_names(publications([]), cfg).collect() == []
+
+
+def test_names_against_a_plain_search(publications, cfg):
+    import random
+
+    rng = random.Random(5)
+    people = lambda: [
+        author(rng.randint(1, 40), rng.choice([None, 1, 2, 3]), rng.choice([None, "G"]), f"S{rng.randint(0, 99)}", "I.")
+        for _ in range(rng.randint(0, 6))
+    ]
+    rows = [paper(rng.randint(-50, 50), rng.randint(1950, 2020), authors=people()) for _ in range(300)]
+    best = {}
+    for r in rows:
+        for a in r[7] or []:
+            seq = -1 if a[1] is None else a[1]
+            record = (a[2] is not None, r[2], r[0], seq, f"{a[3]}, {a[2] or a[4]}")
+            best[int(a[0])] = max(best.get(int(a[0]), record), record)
+    got = {r.auid: (r.name_eid, r.authfull) for r in names.author_names(publications(rows), cfg).collect()}
+    assert got == {k: (v[2], v[4]) for k, v in best.items()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from laurel_registry import queries as registered
 from laurel_registry import tables
-from laurel.operators import authorship, citations, institutions, profile, thresholds
+from laurel.operators import authorship, citations, institutions, names, profile, thresholds
 from laurel.plans.pipeline import LAYOUTS
 from laurel.plans.run import load_inputs, run
 
@@ -191,3 +191,15 @@ def test_run_from_paths(spark, pipe, tmp_path):
     assert table.count() == pipe.table1.count()
     again = run(spark, inputs, pipe.cfg, f"{folder}/stages", f"{folder}/out", "v1")
     assert again == written
+
+
+def test_names_are_chosen_by_numbers_and_fetched_for_the_chosen(pipe):
+    chosen = text(names.latest_records(pipe.inputs.publications, pipe.cfg))
+    assert "SortAggregate" not in chosen and ") Sort\n" not in chosen
+    assert not any("name" in columns for columns in exchanged(chosen))
+    assert all("surname_pn" not in schema for schema in read_schemas(chosen))
+    n_slots = pipe.inputs.publications.select(F.explode("Au.auid")).count()
+    names_ = pipe.author_names
+    n_authors = len(names_.collect())
+    # both sides of the join: the authors, and of the other records what the filter lets through
+    assert records_written(names_, "hashpartitioning(auid") < 2 * n_authors + 0.1 * n_slots
