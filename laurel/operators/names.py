@@ -2,100 +2,44 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laurel.config import MetricConfig
-from laurel.functions.bloom import bloom_filter, filter_bits, might_hold
 from laurel.functions.columns import author_id, display_name
-from laurel.operators.ranking import Save, unsaved
-
-# Decimal places that the parts of a record's order take, highest first: a given name, the
-# date as days, the paper id, the author position; 38 in all.
-DAY_PLACES, ID_PLACES, SEQ_PLACES = 7, 20, 10
-FIRST_DAY = 4_000_000
-LEAST_LONG, LEAST_INT = -(1 << 63), -(1 << 31)
-
-
-def _whole(value: Column, places: int) -> Column:
-    return F.coalesce(value, F.lit(0)).cast(f"decimal({places},0)")
 
 
-def record_order(has_given: Column, date: Column, eid: Column, seq: Column) -> Column:
-    """A number that orders records as (given name, date, paper id, position) do, NULLs lowest.
+def author_names(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
+    """Name from the best record of each author, first and last year over all papers.
 
-    It has a fixed width, so that its maximum is a hash aggregate, which sorts nothing. Dates
-    before the year -8982 or after 18,397 count as these.
+    Records with a given name win, then the latest date, the highest paper id and
+    the highest author position. The best record is a maximum, so a prolific
+    author is reduced on the map side and never sorted as a group.
     """
-    day = F.least(F.greatest(F.unix_date(date) + FIRST_DAY, F.lit(1)), F.lit(10**DAY_PLACES - 1))
-    paper = eid.cast("decimal(19,0)") + F.lit(Decimal(1 - LEAST_LONG))
-    place = seq.cast("long") + F.lit(1 - LEAST_INT)
-    return (
-        _whole(has_given.cast("int"), 1) * F.lit(Decimal(10 ** (DAY_PLACES + ID_PLACES + SEQ_PLACES)))
-        + _whole(day, DAY_PLACES) * F.lit(Decimal(10 ** (ID_PLACES + SEQ_PLACES)))
-        + _whole(paper, ID_PLACES) * F.lit(Decimal(10**SEQ_PLACES))
-        + _whole(place, SEQ_PLACES)
-    ).cast("decimal(38,0)")
-
-
-def _slots(publications: DataFrame, fields: dict[str, Column], *columns: Column | str) -> DataFrame:
-    """One row per author of a paper: ``auid``, the order of the record, and what is asked for."""
-    parts = {
-        "auid": F.col("Au.auid"),
-        "seq": F.col("Au.Authorseq"),
-        "has_given": F.transform("Au.given_name_pn", lambda name: name.isNotNull()),
-        **fields,
-    }
-    zipped = F.arrays_zip(*[column.alias(name) for name, column in parts.items()])
-    return (
-        publications.select("eid", "datesort", *columns, F.explode(zipped).alias("_a"))
-        .select("*", author_id(F.col("_a.auid")).alias("auid"))
-        .filter(F.col("auid").isNotNull())
-        .withColumn(
-            "_order",
-            record_order(F.col("_a.has_given"), F.col("datesort"), F.col("eid"), F.col("_a.seq")),
-        )
+    slots = publications.select(
+        "eid", "datesort", F.col(cfg.year_column).alias("year"), F.explode("Au").alias("_author")
+    )
+    record = F.struct(
+        F.col("_author.given_name_pn").isNotNull().alias("has_given"),
+        "datesort",
+        "eid",
+        F.col("_author.Authorseq").alias("seq"),
+        display_name(F.col("_author")).alias("name"),
     )
-
-
-def latest_records(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
-    """The order of each author's best record, first and last year: numbers only."""
     return (
-        _slots(publications, {}, F.col(cfg.year_column).alias("year"))
+        slots.withColumn("auid", author_id(F.col("_author.auid")))
+        .filter(F.col("auid").isNotNull())
         .groupBy("auid")
         .agg(
-            F.max("_order").alias("_order"),
+            F.max(record).alias("_best"),
             F.min("year").alias("first_pub_year"),
             F.max("year").alias("last_pub_year"),
         )
-    )
-
-
-def author_names(publications: DataFrame, cfg: MetricConfig, save: Save = unsaved) -> DataFrame:
-    """Name from the best record of each author, first and last year over all papers.
-
-    Records with a given name win, then the latest date, the highest paper id and
-    the highest author position; of equal ones the greatest name. The best record is
-    found by its order, a number, reduced on the map side. Only then is the text
-    fetched: a Bloom filter over the best records (32 MB at most) keeps the names of
-    the others, but for its error, out of the shuffle.
-    """
-    best = save("latest_records", latest_records(publications, cfg))
-    bits = filter_bits(best.count())
-    record = F.xxhash64("auid", "_order")
-    words = save("latest_filter", bloom_filter(best.select(record.alias("_id")), "_id", bits))
-    texts = (
-        _slots(publications, {"name": F.transform("Au", display_name)})
-        .filter(might_hold(words.select("words").scalar(), bits, record))
-        .select("auid", "_order", "eid", F.col("_a.name").alias("name"))
-    )
-    return (
-        best.join(texts, ["auid", "_order"])
-        .groupBy("auid", "_order", "eid", "first_pub_year", "last_pub_year")
-        .agg(F.max("name").alias("authfull"))
         .select(
-            "auid", F.col("eid").alias("name_eid"), "authfull", "first_pub_year", "last_pub_year"
+            "auid",
+            F.col("_best.eid").alias("name_eid"),
+            F.col("_best.name").alias("authfull"),
+            "first_pub_year",
+            "last_pub_year",
         )
     )

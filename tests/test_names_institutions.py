@@ -109,21 +109,6 @@ def test_a_position_that_two_slots_share_belongs_to_both(spark, publications, cf
     assert sorted((r.auid, r.affil_id) for r in links.collect()) == [(10, 5), (11, 5)]
 
 
-def test_order_of_records_is_that_of_their_parts(spark):
-    least, most = -(1 << 63), (1 << 63) - 1
-    parts = [
-        (g, d, e, s)
-        for g in (False, True)
-        for d in (None, dt.date(1, 1, 1), dt.date(1969, 12, 31), dt.date(9999, 12, 31))
-        for e in (None, least, -1, 0, most)
-        for s in (None, -(1 << 31), 0, (1 << 31) - 1)
-    ]
-    df = spark.createDataFrame(parts[::-1], "g boolean, d date, e long, s int")
-    order = names.record_order(*[df[c] for c in "gdes"])
-    assert [tuple(r) for r in df.orderBy(order).collect()] == parts
-    assert df.select(order).distinct().count() == len(parts)
-
-
 def test_repeated_records_take_the_greatest_name_once(publications, cfg):
     rows = [paper(1, authors=[author(10, 1, "A", "S")]), paper(1, authors=[author(10, 1, "B", "S")])]
     rows += [paper(2, 1990, authors=[author(11, None)])]
