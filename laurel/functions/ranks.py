@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laurel.functions.spread import running_totals
@@ -50,3 +50,30 @@ def value_ranks(
         values = values.withColumn("_block", F.shiftright("_fine", BLOCK_BITS))
         levels = [("_block", "desc"), *levels]
     return running_totals(values, by, levels, ["n"]).drop("_fine", "_block")
+
+
+def positions(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    save: Callable[[str, DataFrame], DataFrame],
+    stage: str,
+) -> DataFrame:
+    """``df`` with ``position``, from 1: the place of each row in a total order.
+
+    One range exchange sorts the rows; each task numbers its own, and the sizes of the
+    tasks before it are added. The one window without a key covers a row per task, never the
+    rows. ``order`` should leave no ties, so that no task gets more than its share and the
+    places are definite. ``save`` has to write its frame, as ``stage``, and read it back: a
+    second sort could draw other borders.
+    """
+    task = F.shiftright("_at", 33)
+    placed = save(stage, df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.withColumn("_task", task)
+        .join(F.broadcast(starts), "_task")  # a row per task
+        .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + local + 1).alias("position"))
+    )

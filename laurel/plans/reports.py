@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laurel.config import MetricConfig
 from laurel.functions.columns import percent, ratio, sum_if
-from laurel.functions.ranks import value_ranks
+from laurel.functions.ranks import positions, value_ranks
 from laurel.functions.spread import hot_keys, spread_join
-from laurel.operators.ranking import is_top_listed, subfield_position
+from laurel.operators.ranking import Save, is_top_listed, subfield_position
 from laurel.operators.score import MEASURES
 from laurel.operators.thresholds import TOTAL, with_total
 
@@ -142,6 +142,9 @@ def table1_kinds(cfg: MetricConfig) -> dict[str, str]:
     return {name: kind for name, _, kind, _, _ in _table1_columns(cfg) if kind}
 
 
+TABLE1_ORDER = ("`rank (ns)`", "author_id")
+
+
 def table1_rows(ranked: DataFrame, cfg: MetricConfig) -> DataFrame:
     """Table 1 without its sort: top-listed authors, labelled by the run's years."""
     columns = []
@@ -157,7 +160,17 @@ def table1_rows(ranked: DataFrame, cfg: MetricConfig) -> DataFrame:
 
 def table1(ranked: DataFrame, cfg: MetricConfig) -> DataFrame:
     """Table 1: the top list by rank without self-citations (author id breaks ties)."""
-    return table1_rows(ranked, cfg).orderBy("`rank (ns)`", "author_id")
+    return table1_rows(ranked, cfg).orderBy(*TABLE1_ORDER)
+
+
+def table1_positions(ranked: DataFrame, cfg: MetricConfig, save: Save) -> DataFrame:
+    """Table 1 with each row's place in its order as ``position``, for sinks that keep no order."""
+    return positions(table1_rows(ranked, cfg), TABLE1_ORDER, save, "table1_order")
+
+
+def table2_positions(table2: DataFrame, subject: str, save: Save) -> DataFrame:
+    """The same for the Table 2 whose rows are ``Subfield`` or ``Field``."""
+    return positions(table2, table2_order(subject), save, f"table2_{subject.lower()}_order")
 
 
 def table1_dictionary(spark: SparkSession, cfg: MetricConfig) -> DataFrame:
@@ -208,22 +221,25 @@ def table2_kinds(columns) -> dict[str, str]:
     return dict(zip(columns[-len(_TABLE2_KINDS):], _TABLE2_KINDS))
 
 
+def table2_order(subject: str) -> list[Column]:
+    """Order of a Table 2 whose rows are ``Subfield`` or ``Field``: by domain, the total last."""
+    last = F.when(F.col(subject) == TOTAL, F.lit("ZZ")).otherwise(F.col(subject))
+    domain = F.coalesce("Domain", F.lit("ZZ"))
+    return [domain, last] if subject == "Field" else [domain, F.col("Field").asc_nulls_first(), last]
+
+
 def table2_subfield(thresholds: DataFrame, labels: DataFrame, cfg: MetricConfig) -> DataFrame:
     """Table 2a: thresholds per subfield with its domain and field; TOTAL comes last."""
     name = F.coalesce("subject", F.lit("Unassigned"))
     named = with_total(thresholds, "subfield").join(
         labels.select(F.col("subfield").alias("subject"), "domain", "field"), "subject", "left"
     )
-    return named.orderBy(
-        F.coalesce("domain", F.lit("ZZ")),
-        F.col("field").asc_nulls_first(),
-        F.when(name == TOTAL, F.lit("ZZ")).otherwise(name),
-    ).select(
+    return named.select(
         F.col("domain").alias("Domain"),
         F.col("field").alias("Field"),
         name.alias("Subfield"),
         *_threshold_columns(cfg),
-    )
+    ).orderBy(*table2_order("Subfield"))
 
 
 def table2_field(thresholds: DataFrame, labels: DataFrame, cfg: MetricConfig) -> DataFrame:
@@ -233,13 +249,10 @@ def table2_field(thresholds: DataFrame, labels: DataFrame, cfg: MetricConfig) ->
     return (
         with_total(thresholds, "field")
         .join(domains, "subject", "left")
-        .orderBy(
-            F.coalesce("domain", F.lit("ZZ")),
-            F.when(name == TOTAL, F.lit("ZZ")).otherwise(name),
-        )
         .select(
             F.col("domain").alias("Domain"), name.alias("Field"), *_threshold_columns(cfg)
         )
+        .orderBy(*table2_order("Field"))
     )
 
 

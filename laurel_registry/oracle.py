@@ -410,6 +410,19 @@ def _table2_sql(level: str, numeric: bool = False) -> str:
     )
 
 
+def _table2_order_sql() -> str:
+    last = "CASE WHEN {0} = 'TOTAL' THEN 'ZZ' ELSE {0} END"
+    by = {
+        "Subfield": f"""coalesce("Domain", 'ZZ'), "Field" NULLS FIRST, {last.format('"Subfield"')}""",
+        "Field": f"""coalesce("Domain", 'ZZ'), {last.format('"Field"')}""",
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{level}' AS level, row_number() OVER (ORDER BY {order}) AS position, "
+        f'"{level}" AS subject FROM ({_table2_sql(level.lower())}) {level.lower()}_rows'
+        for level, order in by.items()
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     m = _both
     sql: dict[str, str] = {
@@ -483,6 +496,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "thresholds_total": _rounded_thresholds("thr_total"),
         "table1": _table1_sql(numeric=False),
+        "table1_order": "SELECT row_number() OVER (ORDER BY ns_rank, auid) AS position, "
+        "auid author_id FROM ranked WHERE top",
+        "table2_order": _table2_order_sql(),
         "table2_subfield": _table2_sql("subfield"),
         "table2_field": _table2_sql("field"),
         "table3": "SELECT " + ", ".join(

@@ -102,6 +102,20 @@ def _top_list(p: Pipeline) -> DataFrame:
     return reports.table1_rows(p.ranked, p.cfg).select("author_id")
 
 
+def _table1_order(p: Pipeline) -> DataFrame:
+    return reports.table1_positions(p.ranked, p.cfg, p.save).select("position", "author_id")
+
+
+def _table2_order(p: Pipeline) -> DataFrame:
+    parts = [
+        reports.table2_positions(table, subject, p.save).select(
+            F.lit(subject).alias("level"), "position", F.col(subject).alias("subject")
+        )
+        for subject, table in (("Subfield", p.table2_subfield), ("Field", p.table2_field))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def _typed_table2(p: Pipeline) -> DataFrame:
     return typed_report(p.table2_subfield, reports.table2_kinds(p.table2_subfield.columns))
 
@@ -174,6 +188,8 @@ PLANS: dict[str, Callable[[Pipeline], DataFrame]] = {
     "table2_subfield": lambda p: p.table2_subfield,
     "table2_field": lambda p: p.table2_field,
     "table3": lambda p: p.table3,
+    "table1_order": _table1_order,
+    "table2_order": _table2_order,
     "typed_report": _typed_table2,
     "typed_table2_field": _typed_table2_field,
     "typed_table3": _typed_table3,

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laurel import MetricConfig
+from laurel.functions.ranks import positions
 from laurel.plans import reports
 from laurel.sources import readers
 from laurel.sources.reports import (
@@ -160,3 +161,26 @@ def test_ratio_distribution_ignores_missing_ratios(spark, cfg):
 
 def test_labels_follow_the_cutoffs(spark):
     assert [reports.short_count(n) for n in (100_000, 2_000_000, 150, 0)] == ["100k", "2m", "150", "0"]
+
+
+def test_positions_number_a_total_order_over_many_tasks(spark, tmp_path):
+    def save(name, df):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    # a third of all rows share the first key; a column needs quoting
+    rows = spark.range(0, 3000, 1, 7).select(
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 11).alias("rank (ns)"), "id"
+    )
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"  # or so few rows meet in one task
+    spark.conf.set(merge, "false")
+    try:
+        placed = positions(rows, ["`rank (ns)`", F.col("id").desc()], save, "order").collect()
+    finally:
+        spark.conf.unset(merge)
+    want = sorted(((r["rank (ns)"], -r["id"]) for r in rows.collect()))
+    assert [(r["rank (ns)"], -r["id"]) for r in sorted(placed, key=lambda r: r["position"])] == want
+    assert sorted(r["position"] for r in placed) == list(range(1, 3001))
+    parts = spark.read.parquet(f"{tmp_path}/order").select(F.shiftright("_at", 33)).distinct().count()
+    assert parts > 1
+    assert positions(rows.limit(0), ["id"], save, "none").collect() == []
