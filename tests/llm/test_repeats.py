@@ -44,12 +44,33 @@ def test_empty_tables(empty):
     assert substring_dedup.remove_windows(empty).collect() == []
 
 
-def test_previous_factor_against_all_pairs():
-    random = np.random.default_rng(5)
-    columns = random.integers(0, 3, (400, 2))
-    place = suffix_dedup.ranks(random.integers(0, 20, 400), random.integers(0, 9, 400))
-    expected = [any(place[j] < place[i] and (columns[j] == columns[i]).all() for j in range(400)) for i in range(400)]
-    assert suffix_dedup.previous_factor(columns, place).tolist() == expected
+def factors_by_hand(data, at, place, length):
+    def shared(a, b):
+        return next((k for k in range(length) if data[a + k] != data[b + k]), length)
+
+    return [max([shared(a, b) for b, q in zip(at, place) if q < p], default=0) for a, p in zip(at, place)]
+
+
+@pytest.mark.parametrize("length", [1, 5, 7, 8, 9, 20, 100])
+@pytest.mark.parametrize("collide", [False, True])
+def test_longest_previous_factors_against_all_pairs(monkeypatch, length, collide):
+    if collide:  # every fingerprint the same: the sort alone must tell the strings apart
+        monkeypatch.setattr(suffix_dedup.arrays, "rolling", lambda h, width: np.zeros(len(h) - width + 1, np.uint64))
+    for seed in range(4):
+        random = np.random.default_rng(seed)
+        data = random.integers(0, 2 + seed, 200 + length + 8).astype(np.uint8)
+        if seed % 2:
+            data[60:190] = data[:130]
+        at = random.permutation(200)[:150]
+        place = suffix_dedup.ranks(random.integers(0, 20, 150), random.integers(0, 9, 150))
+        got = suffix_dedup.longest_previous_factor(data, at, place, length)
+        assert got.tolist() == factors_by_hand(data.tolist(), at.tolist(), place.tolist(), length)
+
+
+def test_rising_places_before_a_small_one_take_few_steps():
+    n = 200_000
+    place = np.append(np.arange(1, n), 0)
+    assert suffix_dedup.shared_with_smaller(place, np.append(0, np.full(n - 1, 7)))[[0, 1, n - 2, n - 1]].tolist() == [0, 7, 7, 0]
 
 
 def test_the_texts_are_shuffled_once(small):
