@@ -81,20 +81,34 @@ def _pieces(units: Units, data: np.ndarray, at: np.ndarray):
     least = arrays.runs_min(rolled, units.size - units.inner + 1)
     if not len(least):
         return None
-    row = np.repeat(np.arange(len(at) - 1), np.diff(first))[:len(least)]
-    whole = np.arange(len(least)) + units.size <= first[row + 1]
-    new = np.ones(len(least), dtype=bool)
-    new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (whole[1:] != whole[:-1])
-    long = np.arange(len(least)) - np.maximum.accumulate(np.where(new, np.arange(len(least)), 0))
-    head = np.flatnonzero(new | (long % LONGEST_PIECE == 0))
-    count = np.diff(np.append(head, len(least)))
-    keep = whole[head]
-    head, count = head[keep], count[keep]
+    n = len(least)
+    begins, stop = first[:-1], np.maximum(first[1:] - units.size + 1, first[:-1])  # of each row's whole windows
+    new = np.empty(n, dtype=bool)
+    new[0] = True
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[begins[begins < n]] = True
+    new[stop[stop < n]] = True
+    edge = np.flatnonzero(new)
+    parts = -(-np.diff(np.append(edge, n)) // LONGEST_PIECE)
+    head = _ranges(edge, parts, LONGEST_PIECE)
+    count = np.diff(np.append(head, n))
+    row = np.searchsorted(first, head, side="right") - 1
+    keep = head < stop[row]
+    head, count, row = head[keep], count[keep], row[keep]
     if units.same_document:
-        marks = _occurrences(rolled, np.where(whole, least, np.uint64(0)), units.size - units.inner + 1)
+        inside = least.copy()
+        cut = _ranges(stop, first[1:] - stop)
+        inside[cut[cut < n]] = 0
+        marks = _occurrences(rolled, inside, units.size - units.inner + 1)
     else:
         marks = least[head]
-    return marks, least[head], row[head], head, count, begin, end, first
+    return marks, least[head], row, head, count, begin, end, first
+
+
+def _ranges(start: np.ndarray, count: np.ndarray, step: int = 1) -> np.ndarray:
+    """start, start + step, ... of each range, `count` values each, one range after the other."""
+    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(start, count) + step * inside
 
 
 def _occurrences(rolled: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
