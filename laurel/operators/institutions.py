@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laurel.config import MetricConfig
@@ -13,20 +13,55 @@ from laurel.functions.spread import spread_join
 def author_affiliations(publications: DataFrame, cfg: MetricConfig) -> DataFrame:
     """One row per (paper, author, affiliation) link with a printed organisation.
 
-    The links of a paper are unfolded and take their affiliation by its place. Their
-    authors come from a join by paper and author position, so the work grows with
-    the links and not with links times authors, however many a paper has. A link
-    that points past the affiliation list is dropped; a position that several slots
+    The links of a paper are unfolded and take their affiliation by its place. In a paper
+    whose slots stand in the order of their positions 1, 2, 3, ..., as nearly all do, a link
+    takes its author by place too, and nothing is shuffled. The links of the other papers
+    meet their slots in a join by paper and position, linear in the links and not in links
+    times authors. A link that points past a list is dropped; a position that several slots
     share belongs to each of them.
     """
+    in_order = in_order_of_position()
+    regular = linked_affiliations(publications.filter(in_order), cfg, by_place=True)
+    others = publications.filter(~in_order)
+    slots = others.select("eid", F.explode(author_slots()).alias("_a")).select(
+        "eid", F.col("_a.Authorseq").alias("_seq"), author_id(F.col("_a.auid")).alias("auid")
+    )
+    joined = linked_affiliations(others, cfg, by_place=False).join(
+        slots.filter(F.col("auid").isNotNull()), ["eid", "_seq"]
+    )
+    columns = ["eid", "year", "datesort", "auid", "affil_id", "cntry", "affil_name"]
+    return (
+        regular.select(*columns[:-1], "_organization")
+        .unionByName(joined.select(*columns[:-1], "_organization"))
+        .withColumn("affil_name", F.array_join("_organization", ", "))
+        .select(*columns)
+    )
+
+
+def in_order_of_position() -> Column:
+    """Whether each author slot of a paper stands at the place its position names."""
+    sequence = F.col("Au.Authorseq")
+    return F.coalesce(
+        sequence == F.when(F.size(sequence) > 0, F.sequence(F.lit(1), F.size(sequence))),
+        F.lit(False),
+    )
+
+
+def linked_affiliations(publications: DataFrame, cfg: MetricConfig, by_place: bool) -> DataFrame:
+    """The links that lead to a printed organisation, with ``auid`` by place or ``_seq`` to join by."""
+    seq = lambda link: link["Authorseq"]
+    author = (
+        (lambda link: author_id(F.get(F.col("Au.auid"), seq(link) - 1))) if by_place else seq
+    )
+    name = "auid" if by_place else "_seq"
     linked = F.transform(
         "Au_af",
         lambda link: F.struct(
-            link["Authorseq"].alias("seq"),
+            author(link).alias(name),
             F.get(F.col("Af"), link["affiliation_seq"] - 1).alias("affiliation"),
         ),
     )
-    links = (
+    return (
         publications.select(
             "eid", F.col(cfg.year_column).alias("year"), "datesort", F.explode(linked).alias("_l")
         )
@@ -34,22 +69,12 @@ def author_affiliations(publications: DataFrame, cfg: MetricConfig) -> DataFrame
             "eid",
             "year",
             "datesort",
-            F.col("_l.seq").alias("_seq"),
+            F.col(f"_l.{name}").alias(name),
             F.col("_l.affiliation.afid").alias("affil_id"),
             F.col("_l.affiliation.affiliation_organization").alias("_organization"),
             F.col("_l.affiliation.affiliation_tag_country").alias("cntry"),
         )
-        .filter(F.size("_organization") > 0)
-    )
-    slots = (
-        publications.select("eid", F.explode(author_slots()).alias("_a"))
-        .select("eid", F.col("_a.Authorseq").alias("_seq"), author_id(F.col("_a.auid")).alias("auid"))
-        .filter(F.col("auid").isNotNull())
-    )
-    return (
-        links.join(slots, ["eid", "_seq"])
-        .withColumn("affil_name", F.array_join("_organization", ", "))
-        .select("eid", "year", "datesort", "auid", "affil_id", "cntry", "affil_name")
+        .filter((F.size("_organization") > 0) & F.col(name).isNotNull())
     )
 
 

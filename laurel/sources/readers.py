@@ -19,13 +19,39 @@ def dataset_path(base: str, version: str, extent: str, table: str) -> str:
 def read_publications(
     spark: SparkSession, path: str, year_column: str = "year"
 ) -> DataFrame:
-    """Publications; ``year_column`` names the year the run sorts and filters by."""
+    """Publications; ``year_column`` names the year the run sorts and filters by.
+
+    ``path`` may be a plain folder or one divided by year (``write_publications``), of which
+    filters on the year read the folders they need.
+    """
     schema = schemas.PUBLICATIONS
     if year_column not in schema.names:
         schema = T.StructType([*schema.fields, T.StructField(year_column, T.IntegerType())])
     return spark.read.schema(schema).parquet(path)
 
 
+def write_publications(
+    publications: DataFrame, path: str, year_column: str = "year", rows_per_file: int = 1_000_000
+) -> None:
+    """Publications in a folder for each year, as ``read_publications`` takes them.
+
+    A run then lists and reads only the years it asks for. A year's papers are dealt by id
+    over as many files as ``rows_per_file`` calls for, so that neither a year that holds most
+    papers goes through one task nor a small one makes a file per task. Papers without a
+    year have a folder of their own.
+    """
+    years = publications.groupBy(F.col(year_column).alias("_year")).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("int").alias("_files")
+    )
+    (
+        publications.join(F.broadcast(years), F.col(year_column).eqNullSafe(F.col("_year")))  # a row per year
+        .withColumn("_file", F.pmod(F.xxhash64("eid"), F.col("_files")))
+        .repartition("_year", "_file")
+        .drop("_year", "_files", "_file")
+        .write.mode("overwrite").partitionBy(year_column).parquet(path)
+    )
+
+
 def read_institutions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.INSTITUTIONS).parquet(path)
 

@@ -436,6 +436,8 @@ def oracle_sql() -> dict[str, str]:
         "authorship": "SELECT eid, auid, seq author_seq, n n_authors FROM au WHERE auid > 4",
         "counted_publications": f"SELECT eid, yr AS year, pt publication_type FROM paper "
         f"WHERE yr <= 2000 AND coll IN {COUNTED}",
+        "publications_by_year": f"SELECT eid, yr AS year FROM paper "
+        f"WHERE yr >= 1997 AND coll IN {COUNTED}",
         "author_papers": "SELECT eid, yr AS year, core is_core, d is_discontinued, ws ws_cites, "
         "ns ns_cites, dc discontinued_cites, sf subfield, f field, n n_authors, auid, "
         "seq author_seq FROM ap",

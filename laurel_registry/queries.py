@@ -23,6 +23,7 @@ from laurel.operators import authorship, checks, citations, profile, score, subj
 from laurel.operators.indices import BASES
 from laurel.plans import reports
 from laurel.plans.pipeline import Pipeline
+from laurel.sources.readers import read_publications, write_publications
 from laurel.sources.reports import read_report, text_schema, typed_report, write_report
 
 
@@ -144,6 +145,14 @@ def _stage_roundtrip(p: Pipeline) -> DataFrame:
     return p.store.get_or_build("citation_counts", p.cfg, build).select(counts.columns)
 
 
+def _publications_by_year(p: Pipeline) -> DataFrame:
+    path = p.store.path("publications_by_year", p.cfg)
+    if not p.store.is_complete(path):
+        write_publications(p.inputs.publications, path, p.cfg.year_column)
+    divided = read_publications(p.spark, path, p.cfg.year_column)
+    return citations.citing_papers(divided, p.cfg).select("eid", "year")
+
+
 def _distribution(p: Pipeline) -> DataFrame:
     return reports.ratio_distribution(p.ranked, p.cfg)
 
@@ -155,6 +164,7 @@ PLANS: dict[str, Callable[[Pipeline], DataFrame]] = {
     "citation_counts": lambda p: p.citation_counts,
     "authorship": _authorship,
     "counted_publications": _counted,
+    "publications_by_year": _publications_by_year,
     "author_papers": lambda p: p.author_papers,
     "core_author_filter": lambda p: authorship.core_authors(p.author_papers, p.cfg),
     "paper_counts": _metrics("np", "np_range", *_per_basis("npc", "npc_range")),

@@ -109,6 +109,31 @@ def test_a_position_that_two_slots_share_belongs_to_both(spark, publications, cf
     assert sorted((r.auid, r.affil_id) for r in links.collect()) == [(10, 5), (11, 5)]
 
 
+def test_links_by_place_and_by_join_against_a_plain_search(publications, cfg):
+    import random
+
+    rng = random.Random(9)
+    rows, expected = [], []
+    for eid in range(1, 1501):
+        n = rng.randint(0, 6)
+        seqs = list(range(1, n + 1))
+        if eid % 3 == 0:
+            seqs = [rng.choice([None, *range(1, 8)]) for _ in seqs]
+        people = [(rng.choice([None, "x", str(rng.randint(10, 40))]), q, *[None] * 5) for q in seqs]
+        places = [(rng.choice([None, a]), rng.choice([None, [], [f"O{a}"]]), "X") for a in range(rng.randint(0, 4))]
+        links = [(rng.choice([None, *range(-1, 8)]), rng.choice([None, *range(0, 6)])) for _ in range(rng.randint(0, 8))]
+        links = [(a, 1 if b == 0 else b) for a, b in links]
+        rows.append(paper(eid, authors=people, links=links, affiliations=places))
+        for a, b in links:
+            if a is None or b is None or b > len(places) or not places[b - 1][1]:
+                continue
+            expected += [(eid, int(p[0]), places[b - 1][0], places[b - 1][1][0])
+                         for p in people if p[1] == a and p[0] not in (None, "x")]
+    links = institutions.author_affiliations(publications(rows), cfg)
+    got = [tuple(r) for r in links.select("eid", "auid", "affil_id", "affil_name").collect()]
+    assert len(expected) > 50 and sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_repeated_records_take_the_greatest_name_once(publications, cfg):
     rows = [paper(1, authors=[author(10, 1, "A", "S")]), paper(1, authors=[author(10, 1, "B", "S")])]
     rows += [paper(2, 1990, authors=[author(11, None)])]

@@ -3,6 +3,7 @@
 import contextlib
 import io
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from laurel_registry import tables
 from laurel.operators import authorship, citations, institutions, profile, thresholds
 from laurel.plans.pipeline import LAYOUTS
 from laurel.plans.run import load_inputs, run
+from laurel.sources import readers
 
 from tests.conftest import SF, paper
 
@@ -121,6 +123,62 @@ def test_year_filters_reach_the_scan(pipe):
     assert "LessThanOrEqual(year,2000)" in text(authorship.counted_publications(pubs, cfg))
 
 
+def scanned_files(df):
+    """Files that the scans of a query which has run have read."""
+    found, queue = 0, [df._jdf.queryExecution().executedPlan()]
+    while queue:
+        node = queue.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            queue.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            queue.append(node.plan())
+        elif node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numFiles").value()
+        queue += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_only_the_years_asked_for_are_read(spark, pipe, tmp_path):
+    pubs, cfg = pipe.inputs.publications, replace(pipe.cfg, min_cite_year=2000)
+    years = {r.year: r["count"] for r in pubs.groupBy("year").count().collect()}
+    readers.write_publications(pubs, str(tmp_path / "pubs"), rows_per_file=100)
+    divided = readers.read_publications(spark, str(tmp_path / "pubs"))
+    assert sorted(divided.schema.names) == sorted(pubs.schema.names)
+    assert divided.select(pubs.columns).exceptAll(pubs).count() == 0 == pubs.exceptAll(divided.select(pubs.columns)).count()
+    papers = citations.citing_papers(divided, cfg).select("eid")
+    papers.collect()
+    assert re.search(r"PartitionFilters: \[[^]]*year[^]]*>= 2000", text(papers))
+    folders = [f for f in divided.inputFiles() if int(re.search(r"year=(\d+)", f)[1]) >= 2000]
+    assert 0 < scanned_files(papers) == len(folders) < len(divided.inputFiles())
+    for year, n in years.items():  # a large year is dealt over several files, none has one per task
+        files = [f for f in divided.inputFiles() if f"year={year}/" in f]
+        assert 1 <= len(files) <= -(-n // 100)
+
+
+def test_papers_without_a_year_stay(spark, publications, tmp_path):
+    rows = [paper(i, 2000 + i % 2) for i in range(40)]
+    pubs = publications(rows).withColumn("year", F.when(F.col("eid") % 3 > 0, F.col("year")))
+    readers.write_publications(pubs, str(tmp_path / "pubs"), rows_per_file=5)
+    back = readers.read_publications(spark, str(tmp_path / "pubs"))
+    key = lambda df: sorted(((r.eid, r.year) for r in df.select("eid", "year").collect()), key=str)
+    assert key(back) == key(pubs)
+    readers.write_publications(publications([]), str(tmp_path / "none"))
+    assert readers.read_publications(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_links_of_papers_in_order_are_not_shuffled(spark, publications, pipe):
+    rows = [paper(i, authors=[10, 11], links=[(1, 1), (2, 1)], affiliations=[(5, ["A"], "X")]) for i in range(30)]
+    people = [(str(a), 2, None, None, None, None, None) for a in (10, 11)]
+    rows += [paper(i, authors=people, links=[(2, 1)], affiliations=[(5, ["A"], "X")]) for i in range(30, 33)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = institutions.author_affiliations(publications(rows), pipe.cfg)
+        assert len(links.collect()) == 60 + 6
+        assert records_written(links, "hashpartitioning(eid") == 3 + 6  # links and slots of the last three
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_windows_and_sums_share_one_shuffle_by_author(pipe):
     rows = pipe.spark.read.parquet(*{f.rsplit("/", 1)[0] for f in pipe.core_papers.inputFiles()})
     plan = text(profile.paper_metrics(rows, pipe.cfg))
