@@ -249,3 +249,35 @@ def test_run_from_paths(spark, pipe, tmp_path):
     assert table.count() == pipe.table1.count()
     again = run(spark, inputs, pipe.cfg, f"{folder}/stages", f"{folder}/out", "v1")
     assert again == written
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_travel_to_their_paper_once(spark, tmp_path, unbroadcast):
+    day = "timestamp'1998-02-03'"
+    made = {
+        "nation": "SELECT 1 n_nationkey, 'PERU' n_name",
+        "supplier": "SELECT * FROM VALUES (10L, 'S10', 1), (9L, 'S9', 1), (11L, 'S11', 2) t(s_suppkey, s_name, s_nationkey)",
+        # part 4 twice, with two names; part 6 is not there
+        "part": "SELECT * FROM VALUES (4L, 'bolt', 1), (4L, 'axle', 1), (11L, 'nut', 11), (null, 'none', 1) t(p_partkey, p_name, p_size)",
+        "orders": f"SELECT * FROM VALUES (3L, {day}, '2-HIGH'), (5L, {day}, '1-URGENT'), (null, {day}, null) t(o_orderkey, o_orderdate, o_orderpriority)",
+        "lineitem": "SELECT * FROM VALUES (3L, 11L, 10L, 2), (3L, 4L, 9L, 3), (3L, 4L, 10L, 1), (3L, 4L, 10L, null), (3L, 6L, 11L, 1), "
+        "(3L, null, null, 5), (7L, 4L, 9L, 1), (null, 4L, 9L, 1) t(l_orderkey, l_partkey, l_suppkey, l_linenumber)",
+    }
+    for name, sql in made.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    papers = tables.publications(spark, str(tmp_path))
+    got = {row["eid"]: row for row in papers.collect()}
+    assert set(got) == {3, 5, None} and got[5]["Au"] is None and got[5]["Af"] is None
+    assert [(a["Authorseq"], a["auid"], a["surname_pn"], a["indexed_name"]) for a in got[3]["Au"]] == [
+        (1, "4", "axle", "axle X"), (2, "4", "bolt", "bolt X"), (3, str(12 * tables.SPLIT + 3), None, "nut X"),
+    ]
+    assert [(a["afid"], a["affiliation_organization"]) for a in got[3]["Af"]] == [(9, []), (10, ["Dept 0", "S10"])]
+    assert [tuple(x) for x in got[3]["Au_af"]] == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2)]
+    # part 4 counts twice for its four lines with a paper; three orders
+    assert records_written(papers, "hashpartitioning(eid") == 7 + 4 + 3
