@@ -14,6 +14,7 @@ from laurel.operators import authorship, citations, institutions, profile, thres
 from laurel.plans.pipeline import LAYOUTS
 from laurel.plans.run import load_inputs, run
 from laurel.sources import readers
+from laurel.sources.stages import StageStore
 
 from tests.conftest import SF, paper
 
@@ -281,3 +282,18 @@ def test_lines_travel_to_their_paper_once(spark, tmp_path, unbroadcast):
     assert [tuple(x) for x in got[3]["Au_af"]] == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2)]
     # part 4 counts twice for its four lines with a paper; three orders
     assert records_written(papers, "hashpartitioning(eid") == 7 + 4 + 3
+
+
+def test_author_lists_of_other_papers_stay_out_of_the_exchange(
+    spark, pipe, publications, discontinued, tmp_path, unbroadcast
+):
+    # only paper 1 shares an author with a paper it cites
+    rows = [paper(i, refs=[i - 1], authors=[1000 + max(i, 1)]) for i in range(400)]
+    store = StageStore(spark, str(tmp_path), "meeting")
+    save = lambda name, df: store.get_or_build(name, pipe.cfg, lambda: df)
+    edges = citations.citation_edges(publications(rows), discontinued([]), pipe.cfg, save=save)
+    assert {(r["citing_eid"], r["is_self"]) for r in edges.collect() if r["is_self"]} == {(1, 1)}
+    met = store.get_or_build("edge_candidates", pipe.cfg, None).filter("maybe_self = 1").count()
+    assert met < 50
+    assert records_written(edges, "hashpartitioning(cited_eid") <= met + 2 * met + 0.05 * 400
+    assert records_written(edges, "hashpartitioning(citing_eid") <= met + 2 * met + 0.05 * 400
