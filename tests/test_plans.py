@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from laurel_registry import queries as registered
 from laurel_registry import tables
-from laurel.operators import authorship, citations, institutions, profile, thresholds
+from laurel.functions.bloom import id_filter
+from laurel.operators import authorship, citations, institutions, names, profile, thresholds
 from laurel.plans.pipeline import LAYOUTS
 from laurel.plans.run import load_inputs, run
 from laurel.sources import readers
@@ -297,3 +298,21 @@ def test_author_lists_of_other_papers_stay_out_of_the_exchange(
     assert met < 50
     assert records_written(edges, "hashpartitioning(cited_eid") <= met + 2 * met + 0.05 * 400
     assert records_written(edges, "hashpartitioning(citing_eid") <= met + 2 * met + 0.05 * 400
+
+
+def test_names_and_institutions_of_ranked_authors_only(spark, pipe, publications):
+    wanted = id_filter(spark.range(1000, 1010).toDF("auid"), "auid")
+    pubs = publications([
+        paper(i, authors=[1000 + i], links=[(1, 1)], affiliations=[(7, ["X"], "PERU")]) for i in range(400)
+    ])
+    links = institutions.author_affiliations(pubs, pipe.cfg)
+    for few, all_ in (
+        (names.author_names(pubs, pipe.cfg, wanted), names.author_names(pubs, pipe.cfg)),
+        (institutions.dominant_affiliation(links, wanted), institutions.dominant_affiliation(links)),
+    ):
+        mine = F.col("auid") < 1010
+        assert sorted(map(str, few.filter(mine).collect())) == sorted(map(str, all_.filter(mine).collect()))
+        few.collect()
+        assert records_written(few, "hashpartitioning(auid") <= 2 * (10 + 0.05 * 400)
+    assert pipe.ranked.count() > 0
+    assert pipe.store.is_complete(pipe.store.path("profiled_authors", pipe.cfg))
