@@ -141,9 +141,12 @@ def gram_counts(words: DataFrame) -> dict[str, int]:
 def links(words: DataFrame) -> DataFrame:
     """(a, b) for each two words exactly one edit apart, both ways round.
 
-    Candidates of a key are cut into slices by their number, pivots times prefixes.
+    Candidates of a key are cut into slices by their number, pivots times prefixes. Keys travel and
+    are sorted as 64-bit hashes: two texts that share one make candidates, which the distance drops.
+    A pair is kept once, its words in order, until all its candidates have met.
     """
-    entries = settled(words.select("word").mapInArrow(_entries(gram_counts(words)), "key string, pivot boolean, word string"))
+    made = words.select("word").mapInArrow(_entries(gram_counts(words)), "key string, pivot boolean, word string")
+    entries = settled(made.withColumn("key", F.xxhash64("key")))
     size = F.length("word").alias("size")
     of_pivots = entries.filter("pivot").select("key", F.col("word").alias("a"), size.alias("size_a"))
     of_prefixes = entries.select("key", F.col("word").alias("b"), size.alias("size_b"))
@@ -152,8 +155,9 @@ def links(words: DataFrame) -> DataFrame:
     hot = hot_keys(work, ["key"], "n", limit)  # 2,000 keys at most have more than that share
     found = spread_join(of_prefixes, of_pivots, ["key"], hot, "b")
     found = found.filter("a != b and abs(size_a - size_b) <= 1")
-    found = found.filter(F.levenshtein("a", "b", EDITS) == EDITS).select("a", "b")
-    return found.unionAll(found.select("b", "a")).toDF("a", "b").distinct()
+    found = found.filter(F.levenshtein("a", "b", EDITS) == EDITS)
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("_p")).select("_p.*")
 
 
 # ------------------------------------------------------------------ forms and roots

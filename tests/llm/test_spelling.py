@@ -74,3 +74,14 @@ def test_shares_of_whole_texts_make_the_keys(spark):
     """Candidates share the text up to the pivot or from it on, not only the bigram."""
     words = spark.createDataFrame([("abcdef", 5), ("abcdxf", 5), ("zzcdef", 5)], "word string, n long")
     assert {tuple(r) for r in spelling.links(words).collect()} == {("abcdef", "abcdxf"), ("abcdxf", "abcdef")}
+
+
+def test_keys_travel_as_hashes_and_pairs_once(spark, monkeypatch):
+    """F-op11: sorting texts as keys and sending a pair both ways round took the time."""
+    kept = []
+    whole = spelling.settled
+    monkeypatch.setattr(spelling, "settled", lambda df: kept.append(df) or whole(df))
+    found = spelling.links(spark.createDataFrame([("abcdef", 5), ("abcdxf", 5), ("abcdyf", 5)], "word string, n long"))
+    assert dict(kept[0].dtypes)["key"] == "bigint"
+    assert "least(" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == found.distinct().count() == 6
