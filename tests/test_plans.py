@@ -356,6 +356,9 @@ def test_a_short_list_of_suppliers_does_not_shuffle_the_lines(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(l_suppkey" not in plan and "hashpartitioning(afid" not in plan
+    assert not [x for x in exchanged(plan) if "s_name" in x and "p_name" in x]
+    # papers are not dealt over fewer partitions than asked for, which would spill
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
 
 
 def test_publications_are_not_rebuilt_for_nullability(spark):
